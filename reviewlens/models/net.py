@@ -30,7 +30,7 @@ from reviewlens.operators.statistics import class_weight_map
 
 RECOMMEND, SENTIMENT = "recommend", "sentiment"
 CLASSES = {RECOMMEND: 2, SENTIMENT: 3}
-CHUNK = 4_096
+CHUNK = 65_536
 BATCHES_PER_WORKER = 64
 
 Weights = dict[str, np.ndarray]
@@ -256,7 +256,7 @@ class NetModel:
     def load(spark: SparkSession, path: str) -> NetModel:
         s = spark.read.parquet(f"{path}/spec").first()
         spec = NetSpec(s["inputs"], tuple(s["tasks"]), tuple(s["task_weights"]), s["hidden"], s["dropout"])
-        rows = spark.read.parquet(f"{path}/weights").collect()  # the size of the model
+        rows = _model_rows(spark.read.parquet(f"{path}/weights"))
         return NetModel(spec, _join_chunks(spec.initial(0), rows), s["best"])
 
 
@@ -267,12 +267,22 @@ def _chunks(tensors: Weights) -> Iterator[tuple[str, int, np.ndarray]]:
             yield name, i // CHUNK, flat[i : i + CHUNK]
 
 
-def _join_chunks(like: Weights, rows) -> Weights:
-    parts: dict[str, list[tuple[int, list[float]]]] = {n: [] for n in like}
-    for r in rows:
-        parts[r["tensor"]].append((r["chunk"], r["values"]))
+def _model_rows(df: DataFrame) -> list[tuple[str, int, np.ndarray]]:
+    """Fetch a table of weights, as Arrow: its size is that of the model, whatever the data."""
+    table = df.select("tensor", "chunk", "values").toArrow()
+    values = table["values"].combine_chunks()
+    bounds = values.offsets.to_numpy()
+    flat = values.values.to_numpy()
+    names, chunks = table["tensor"].to_pylist(), table["chunk"].to_pylist()
+    return [(n, c, flat[bounds[i] : bounds[i + 1]]) for i, (n, c) in enumerate(zip(names, chunks))]
+
+
+def _join_chunks(like: Weights, rows: list[tuple[str, int, np.ndarray]]) -> Weights:
+    parts: dict[str, list[tuple[int, np.ndarray]]] = {n: [] for n in like}
+    for tensor, chunk, values in rows:
+        parts[tensor].append((chunk, values))
     return {
-        n: np.concatenate([np.asarray(v, dtype="float32") for _, v in sorted(parts[n], key=lambda p: p[0])])
+        n: np.concatenate([v.astype("float32") for _, v in sorted(parts[n], key=lambda p: p[0])])
         .reshape(like[n].shape)
         for n in like
     }
@@ -284,9 +294,10 @@ def _worker_count(spark: SparkSession, rows: int, batch_size: int) -> int:
 
 
 def _run_epoch(train: DataFrame, state: Weights, spec: NetSpec, policy: Policy, class_weights: np.ndarray,
-               seed: int, epoch: int, steps: int) -> tuple[Weights, float]:
+               seed: int, epoch: int, steps: int, returned_once: bool) -> tuple[Weights, float]:
     """One epoch on every partition and the row-weighted mean of what they return. ``state`` holds
-    the weights and both moment estimates (keys ending in ``/m`` and ``/v``)."""
+    the weights and both moment estimates (keys ending in ``/m`` and ``/v``). With one worker there is
+    nothing to average (``returned_once``)."""
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(state)
     total, warmup = steps * policy.epochs, int(policy.warmup_ratio * steps * policy.epochs)
@@ -305,27 +316,31 @@ def _run_epoch(train: DataFrame, state: Weights, spec: NetSpec, policy: Policy,
             adamw_step(w, m, v, grads, step, learning_rate(step, total, warmup, policy.learning_rate), policy)
             done, losses = done + 1, losses + loss
         if done:
-            yield pd.DataFrame({"tensor": ["/loss"], "chunk": [0], "values": [[losses / done]], "n": [float(done)]})
-            for name, i, values in _chunks(local):
-                yield pd.DataFrame({"tensor": [name], "chunk": [i], "values": [values], "n": [float(done)]})
+            out = [("/loss", 0, np.array([losses / done])), *_chunks(local)]
+            for start in range(0, len(out), 16):
+                names, chunks, values = zip(*out[start : start + 16])
+                yield pd.DataFrame({"tensor": names, "chunk": chunks, "values": values, "n": float(done)})
 
     # the hash order is new in every epoch and local to the partition: no shuffle
     ordered = train.withColumn("_o", order_hash(f"epoch{epoch}", seed, "row_id")).sortWithinPartitions("_o", "row_id")
     returned = ordered.select("label", "sentiment", "indices", "values").mapInPandas(
         work, "tensor string, chunk int, values array<double>, n double"
     )
-    mean = (
-        returned.withColumn("_v", array_to_vector("values"))
-        .groupBy("tensor", "chunk")
-        .agg(Summarizer.mean(F.col("_v"), F.col("n")).alias("_mean"))
-        .select("tensor", "chunk", vector_to_array("_mean").alias("values"))
-    )
-    rows = mean.collect()  # three numbers per weight of the model
+    if returned_once:
+        mean = returned
+    else:
+        mean = (
+            returned.withColumn("_v", array_to_vector("values"))
+            .groupBy("tensor", "chunk")
+            .agg(Summarizer.mean(F.col("_v"), F.col("n")).alias("_mean"))
+            .withColumn("values", vector_to_array("_mean"))
+        )
+    rows = _model_rows(mean)
     shared.destroy()
-    loss = next((r["values"][0] for r in rows if r["tensor"] == "/loss"), None)
+    loss = next((values[0] for tensor, _, values in rows if tensor == "/loss"), None)
     if loss is None:
         raise ValueError("no full batch: use fewer workers or a smaller batch size")
-    return _join_chunks(state, [r for r in rows if r["tensor"] != "/loss"]), loss
+    return _join_chunks(state, [r for r in rows if r[0] != "/loss"]), float(loss)
 
 
 def val_macro_f1(model: NetModel, val: DataFrame) -> float:
@@ -369,7 +384,7 @@ def train_net(
     history = []
     try:
         for epoch in range(1, policy.epochs + 1):
-            state, loss = _run_epoch(spread_rows, state, spec, policy, class_weights, seed, epoch, steps)
+            state, loss = _run_epoch(spread_rows, state, spec, policy, class_weights, seed, epoch, steps, workers == 1)
             now = NetModel(spec, {n_: x for n_, x in state.items() if "/" not in n_}, epoch)
             f1 = val_macro_f1(now, val)
             history.append((epoch, loss, f1))

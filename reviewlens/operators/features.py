@@ -82,13 +82,12 @@ def term_counts(df: DataFrame, text: str = "review_text", key: str = "row_id") -
     """Long form ``(key, term, tf)``. Equal terms of a row are counted inside the row, as runs of
     its sorted terms, so no shuffle by (row, term) is needed."""
     rows = with_terms(df.select(key, text), text).withColumn("_s", F.sort_array("terms"))
-    rows = rows.filter(F.size("_s") > 0)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("_s") - 1),
-        lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)),
+    positions = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(
+        F.array().cast("array<int>")
     )
+    starts = F.filter(positions, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
     rows = rows.select(key, "_s", starts.alias("_p"))
-    ends = F.concat(F.slice("_p", F.lit(2), F.size("_p")), F.array(F.size("_s")))
+    ends = F.slice(F.concat("_p", F.array(F.size("_s"))), F.lit(2), F.size("_p"))
     runs = F.zip_with(
         F.col("_p"),
         ends,
@@ -128,15 +127,16 @@ def smoothed_idf(n_docs: int | Column, doc_freq: Column) -> Column:
 
 
 def double_array(values: list[float]) -> Column:
-    """A constant array. Written as one SQL literal, which Catalyst folds once per plan."""
-    return F.expr("array(" + ",".join(f"{v!r}D" for v in values) + ")") if values else F.array().cast(
-        "array<double>"
-    )
+    """A constant array. It enters the plan as one text literal, which Catalyst folds once; thousands
+    of separate literals would slow down every analysis step."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
 def l2_normalized(values: Column) -> Column:
+    """Values over their length. The norm is an argument, not part of the lambda, where it would be
+    worked out again for every element."""
     norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(values, lambda x: x / norm)
+    return F.zip_with(values, F.array_repeat(norm, F.size(values)), lambda x, n: x / n)
 
 
 @dataclass(frozen=True)

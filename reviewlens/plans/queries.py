@@ -3,23 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens import functions as fn
 from reviewlens.config import MULTI_TASK, SINGLE_TASK, Config
+from reviewlens.models import baselines, net
+from reviewlens.models.baselines import BaselineSettings, Features
+from reviewlens.models.calibrated_svm import fit_calibrated_svm
+from reviewlens.models.naive_bayes import fit_naive_bayes
 from reviewlens.operators import clean, features, metrics, report, sampling, statistics
+from reviewlens.plans.experiment import features_of, run_multi_seed
 from reviewlens.sources import (
     canonicalize,
     normalize_headers,
     read_reviews_csv,
+    results_document,
     reviews_from_fixture,
+    write_results_json,
     write_table_csv,
 )
 from reviewlens.storage import materialize, scratch_path
 
 SEED = 42
+# The rated test reviews are few: smaller batches give the networks enough steps.
+CONFIG = Config(max_rows=None, batch_size=32)
+SMALL = BaselineSettings(
+    logistic_iterations=30, svm_iterations=5, forest_trees=10, forest_depth=5, boosting_rounds=3,
+    boosting_depth=3,
+)
 SEEDS = Config().seeds
 NETS = (SINGLE_TASK, MULTI_TASK)
 BASELINES = ("Logistic Regression", "Naive Bayes", "SVM", "Random Forest", "Gradient Boosting")
@@ -459,6 +473,101 @@ def metric_matrix(spark, sf):
     return report.metric_matrix(models(spark, sf), [*BASELINES, *NETS])
 
 
+# ---- models: trained on the rated reviews ----
+
+
+def _rated(spark, sf) -> DataFrame:
+    return materialize(reviews(spark, sf).filter(F.col("rating").isNotNull()), "rated")
+
+
+def _model_features(spark, sf) -> tuple[Features, DataFrame]:
+    data, val, _ = features_of(_rated(spark, sf), CONFIG, TEST_LEXICON)
+    return data, val
+
+
+def nb_scores(spark, sf):
+    data, _ = _model_features(spark, sf)
+    rows = fit_naive_bayes(data.train, data.size).transform(data.test)
+    return rows.select("row_id", "label", F.round("probability", 6).alias("probability"), "prediction")
+
+
+def linear_attributions(spark, sf):
+    """The terms that move the naive Bayes log-odds of each test review most."""
+    data, _ = _model_features(spark, sf)
+    model = fit_naive_bayes(data.train, data.size)
+    odds = [b - a for a, b in zip(*model.log_share)]
+    names = [*data.tfidf.terms, *features.aspect_columns(TEST_LEXICON)]
+    return _r6(
+        baselines.linear_attributions(data.test, odds, baselines.feature_means(data.train), names, 5),
+        "contribution",
+    )
+
+
+def baseline_suite(spark, sf):
+    """All five baselines, with fewer trees and iterations than the defaults."""
+    data, _ = _model_features(spark, sf)
+    results, _ = baselines.train_and_evaluate(
+        data.train, data.test, include_trees=True, settings=SMALL, data=data
+    )
+    return results.select("model", "type", "status", *statistics.METRICS)
+
+
+def calibrated_svm(spark, sf):
+    data, _ = _model_features(spark, sf)
+    model = fit_calibrated_svm(data.train, SMALL.svm_folds, SMALL.svm_iterations)
+    return model.transform(data.test).select("row_id", "label", "probability", "prediction")
+
+
+def logistic_attributions(spark, sf):
+    data, _ = _model_features(spark, sf)
+    model = baselines.fit_logistic(data.train, SMALL.logistic_iterations)
+    names = [*data.tfidf.terms, *features.aspect_columns(TEST_LEXICON)]
+    means = baselines.feature_means(data.train)
+    return baselines.linear_attributions(data.test, model.coefficients.tolist(), means, names, 5)
+
+
+def _net(spark, sf, name: str) -> DataFrame:
+    data, val = _model_features(spark, sf)
+    model = net.TRAINERS[name](data.train, val, data.size, SEED, CONFIG)
+    path = scratch_path(spark, "net")
+    model.save(spark, path)
+    return net.NetModel.load(spark, path).transform(data.test)
+
+
+def net_single(spark, sf):
+    """Train, save the best weights, load them and score the test rows."""
+    return _net(spark, sf, SINGLE_TASK).select("row_id", "label", "probability", "prediction")
+
+
+def net_multi(spark, sf):
+    rows = _net(spark, sf, MULTI_TASK)
+    return rows.select("row_id", "label", "probability", "prediction", "sentiment_prediction")
+
+
+def multi_seed(spark, sf):
+    data, val = _model_features(spark, sf)
+    return run_multi_seed(data, val, replace(CONFIG, seeds=SEEDS[:3])).seed_metrics
+
+
+def results_json(spark, sf):
+    """Write the nested result document and read it back."""
+    rows = seed_metrics(spark, sf)
+    path = scratch_path(spark, "results-json")
+    write_results_json(results_document(rows, statistics.seed_summary(rows), Config()), path)
+    return spark.read.json(path).select(
+        F.size("single_task_per_seed").alias("single_runs"),
+        F.size("multi_task_per_seed").alias("multi_runs"),
+        F.size("summary").alias("models"),
+        F.array_join(F.transform("single_task_per_seed", lambda r: r["seed"]), " ").alias("seed_order"),
+        F.col("config.batch_size").alias("batch_size"),
+    )
+
+
+ROWS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (baseline_suite, calibrated_svm, logistic_attributions, net_single, net_multi, multi_seed)
+}
+
 SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -471,7 +580,7 @@ SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         idf, sublinear_tf, tfidf_long, feature_rows, encode_fixed, class_weights, weighted_rows,
         confusion, accuracy_f1, class_report, roc_points, roc_points_reduced, auc, roc_table,
         epoch_loss, seed_detail, seed_summary, paired_gain, gain_summary, ttest, ttest_by_product,
-        best_epoch, model_union, f1_table, metric_matrix,
+        best_epoch, model_union, f1_table, metric_matrix, nb_scores, linear_attributions, results_json,
     )
 }
 SQL_QUERIES["raw_reviews"] = raw
