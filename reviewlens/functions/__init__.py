@@ -7,6 +7,7 @@ from reviewlens.functions.columns import (
     parse_rating,
     sentiment_class,
     softmax_probability,
+    strip_column,
     strip_text,
 )
 from reviewlens.functions.student_t import t_p_value
@@ -14,5 +15,5 @@ from reviewlens.functions.text import ngrams, tokenize, with_terms
 
 __all__ = [
     "argmax", "binary_label", "fmt_gain", "fmt_mean_std", "model_family", "ngrams", "parse_rating",
-    "sentiment_class", "softmax_probability", "strip_text", "t_p_value", "tokenize", "with_terms",
+    "sentiment_class", "softmax_probability", "strip_column", "strip_text", "t_p_value", "tokenize", "with_terms",
 ]

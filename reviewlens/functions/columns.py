@@ -9,10 +9,19 @@ from reviewlens.config import WHITESPACE
 
 
 def strip_text(text: Column) -> Column:
-    """Remove outer whitespace of any kind (plain ``trim`` removes spaces only)."""
+    """Remove outer whitespace of any kind (plain ``trim`` removes spaces only). The input is named
+    once, so the expression stays small when Catalyst pushes a filter on it through other steps."""
     return F.trim(text, F.lit(WHITESPACE))
 
 
+def strip_column(name: str) -> Column:
+    """The same for a stored column. Trimming a set of characters walks the whole text, so it is
+    left to the texts that start or end with one of them."""
+    text = F.col(name)
+    outer = F.substring(text, 1, 1).isin(*WHITESPACE) | F.substring(text, -1, 1).isin(*WHITESPACE)
+    return F.when(outer, strip_text(text)).otherwise(text)
+
+
 def parse_rating(raw: Column) -> Column:
     """First run of digits as a number; null when there is none. ``4.5`` gives 4."""
     return F.regexp_extract(raw.cast("string"), "([0-9]+)", 1).try_cast("double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.config import BLANK_SUMMARIES
-from reviewlens.functions import binary_label, parse_rating, sentiment_class, strip_text
+from reviewlens.functions import binary_label, parse_rating, sentiment_class, strip_column, strip_text
 
 MIN_LENGTH = 10
 
@@ -23,13 +23,13 @@ def combine_summary(df: DataFrame, strict_nulls: bool = True) -> DataFrame:
     """
     if "summary" not in df.columns:
         return df
-    summary, text = strip_text(F.col("summary")), strip_text(F.col("review_text"))
+    text = strip_column("review_text")
     if not strict_nulls:
         text = F.coalesce(text, F.lit("nan"))
-    useful = summary.isNotNull() & ~F.lower(summary).isin(*BLANK_SUMMARIES)
-    return df.withColumn(
-        "review_text", F.when(useful, F.concat(summary, F.lit(". "), text)).otherwise(text)
-    )
+    summary = strip_text(F.col("summary"))
+    useful = ~F.lower(summary).isin(*BLANK_SUMMARIES)
+    prefix = F.coalesce(F.when(useful, F.concat(summary, F.lit(". "))), F.lit(""))
+    return df.withColumn("review_text", F.concat(prefix, text))
 
 
 def with_rating_and_label(df: DataFrame) -> DataFrame:
@@ -74,13 +74,22 @@ def clean_reviews(df: DataFrame, strict_nulls: bool = True) -> DataFrame:
     present = [c for c in ("row_id", "review_text", "rating", "summary") if c in df.columns]
     rows = df.select(*present)
     if strict_nulls:
-        # a null text stays null when combined, so the test can reach the scan
-        rows = drop_null_text(rows)
-    rows = with_rating_and_label(combine_summary(rows, strict_nulls))
-    rows = drop_null_text(rows).select("row_id", "review_text", "rating", "label")
-    rows = strip_and_filter_length(dedupe_first(rows, ["review_text"], "row_id"))
-    return rows.withColumn("sentiment", sentiment_class(F.col("rating"))).select(
-        "row_id", "review_text", "rating", "label", "sentiment"
+        # a null text, and no other, is null when combined: tested first, the filter reaches the scan
+        rows = combine_summary(drop_null_text(rows))
+    else:
+        rows = drop_null_text(combine_summary(rows, strict_nulls=False))
+    # The length is carried through the aggregation. A filter on the text itself would be pushed down
+    # to the scan, where it would repeat the whole text expression in one oversized method.
+    rows = with_rating_and_label(rows).withColumn("_length", F.length(strip_text(F.col("review_text"))))
+    rows = dedupe_first(
+        rows.select("row_id", "review_text", "rating", "label", "_length"), ["review_text"], "row_id"
+    )
+    return rows.filter(F.col("_length") > MIN_LENGTH).select(
+        "row_id",
+        strip_text(F.col("review_text")).alias("review_text"),
+        "rating",
+        "label",
+        sentiment_class(F.col("rating")).alias("sentiment"),
     )
 
 

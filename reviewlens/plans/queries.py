@@ -186,7 +186,7 @@ def label_and_sentiment(spark, sf):
 
 
 def text_stripped(spark, sf):
-    return raw(spark, sf).select("row_id", fn.strip_text(F.col("review_text")).alias("review_text"))
+    return raw(spark, sf).select("row_id", fn.strip_column("review_text").alias("review_text"))
 
 
 def text_lowered(spark, sf):

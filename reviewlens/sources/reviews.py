@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.config import ALIASES, CSV_NULL_TOKENS, REQUIRED_COLUMNS
+from reviewlens.storage import spread
 
 _OVERFLOW = "_overflow"
 
@@ -90,7 +91,7 @@ def with_row_id(df: DataFrame) -> DataFrame:
 def reviews_from_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled documents as raw reviews, with messy ratings, blank summaries, missing texts
     and outer whitespace. Both inputs are keyed by doc_id; Spark picks the join by their sizes."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("_labelled", F.lit(True))
     doc_id, text = F.col("doc_id"), F.col("text")
     stars = (
