@@ -74,9 +74,9 @@ def _without(w: Column, at: Column) -> Column:
     return F.when(at < 0, w).otherwise(F.concat(F.slice(w, 1, at), F.slice(w, at + 2, F.size(w))))
 
 
-def _near_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
+def _near_lines(lines: DataFrame, text: DataFrame) -> DataFrame:
     """(l1, l2) of the distinct lines (l1, l2, first, halves) that come after a line within one word edit of them.
-    ``words`` has (l1, l2, place, w) of every occurrence.
+    ``text`` has (place, x) of every line.
 
     Lines that share no half with another line have no such neighbour and go at once. The others emit every
     variant of one deletion, hashed; variants that come once go. Lines of one length that agree in the variant and in
@@ -88,10 +88,9 @@ def _near_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
     shared = spread.groupBy("half").agg(F.min("l1").alias("x"), F.max("l1").alias("y")).where("x != y").select("half")
     shared = small(materialize(shared, "shared-halves"))
     some = materialize(spread.join(shared, "half").select("l1", "l2").distinct(), "near-lines")
-    firsts = some.join(lines.select("l1", "l2", "first"), ["l1", "l2"])
-    firsts = small(materialize(firsts.withColumnsRenamed({"l1": "f1", "l2": "f2"}), "near-firsts"))
-    same_place = (F.col("l1") == F.col("f1")) & (F.col("l2") == F.col("f2")) & (F.col("place") == F.col("first"))
-    chosen = words.join(firsts, same_place).select("l1", "l2", "first", "w")
+    firsts = some.join(lines.select("l1", "l2", F.col("first").alias("place")), ["l1", "l2"])
+    firsts = small(materialize(firsts, "near-firsts"))
+    chosen = text.join(firsts, "place").select("l1", "l2", F.col("place").alias("first"), words_of(F.col("x")).alias("w"))
     chosen = materialize(chosen.dropDuplicates(["l1", "l2"]), "candidates")
 
     often = _variants(chosen).groupBy("v").count().where("count > 1").select("v")
@@ -118,18 +117,18 @@ def _near_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, k, removed): per distinct (doc_id, text) the numbers, from 0, of the lines to take out; k hashes the text."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("k"), F.posexplode(lines_of(F.col("text"))).alias("line", "x"))
-    rows = rows.select(F.struct("doc_id", "k", "line").alias("place"), words_of(F.col("x")).alias("w"))
-    rows = rows.where(F.size("w") >= min_words)
-    keyed = rows.select(*_line_key(F.col("w")), "place", "w")
+    text = docs.select("doc_id", F.xxhash64("text").alias("k"), F.posexplode(lines_of(F.col("text"))).alias("line", "x"))
+    rows = text.select("doc_id", "k", "line", words_of(F.col("x")).alias("w")).where(F.size("w") >= min_words)
     near = F.size("w") >= near_words
     halves = F.when(near, let(F.col("w"), _half_keys)).otherwise(F.array().cast("array<bigint>"))
+    place = F.struct("doc_id", "k", "line").alias("place")
+    keyed = materialize(rows.select(*_line_key(F.col("w")), place, halves.alias("halves")), "line-keys")
     lines = materialize(
-        keyed.select("l1", "l2", "place", halves.alias("halves")).groupBy("l1", "l2")
+        keyed.groupBy("l1", "l2")
         .agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("halves").alias("halves")),
         "lines",
     )
-    nearly = _near_lines(lines, keyed.where(near)).withColumn("near", F.lit(True))
+    nearly = _near_lines(lines, text.select(place, "x")).withColumn("near", F.lit(True))
     marked = lines.select("l1", "l2", "first", "last").join(nearly, ["l1", "l2"], "left")
     marked = materialize(
         marked.where("near OR first != last").select("l1", "l2", "first", F.coalesce("near", F.lit(False)).alias("near")),
