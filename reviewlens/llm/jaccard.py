@@ -14,8 +14,9 @@ from reviewlens.llm.common import arrow_by_bytes, components, small
 from reviewlens.storage import materialize
 
 WORDS = 5
-FREQUENT = 4
 BITS = 27
+SUB_KEYS = 1 << 33
+CELL_BYTES = 4 << 20
 BLOCK = 1 << 20
 SLICE_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -134,13 +135,44 @@ def _distinct_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield node, x
 
 
-def _least_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of plain prefixes, with how many of the batch's sets have them there."""
-    for batch in batches:
-        parts = [x[: len(x) // 5 + 1] for _, x in _distinct_sets(batch)]
-        if parts:
-            tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_longs(tokens), _longs(counts)], names=["token", "n"])
+def _tokens(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [x for _, x in _distinct_sets(batch)]
+
+
+def _dealt(parts_of, bits: int, subs: int):
+    """The batch's keys as (bucket, sub, keys), each key once or, if several of its sets have it, twice. A bucket covers 2 **
+    15 bits of a bitmap of 2 ** ``bits``; a key is written as its 15 bits and 17 more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not (parts := parts_of(batch)):
+                continue
+            once, counts = np.unique(np.concatenate(parts), return_counts=True)
+            keys = np.concatenate([once, once[counts > 1]])
+            at = keys & np.uint64((1 << bits) - 1)
+            group = (at >> np.uint64(15)) * np.uint64(subs) + (keys >> np.uint64(57)) % np.uint64(subs)
+            order = np.argsort(group, kind="stable")
+            group = group[order].astype("int64")
+            short = ((at & np.uint64(32767)) << np.uint64(17) | keys >> np.uint64(40) & np.uint64(0x1FFFF))[order]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            offsets = pa.array(np.append(first, len(group)) * 4, pa.int32())
+            packed = pa.BinaryArray.from_buffers(
+                pa.binary(), len(first), [None, offsets.buffers()[1], pa.py_buffer(short.astype("<u4").tobytes())]
+            )
+            arrays = [pa.array(group[first] // subs, pa.int32()), pa.array(group[first] % subs, pa.int32()), packed]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "sub", "keys"])
+
+    return run
+
+
+def _repeated(rows: pa.Table) -> pa.Table:
+    """The bits of a bucket's keys that come at least twice."""
+    keys = np.sort(np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<u4"))
+    slots = np.unique(keys[1:][keys[1:] == keys[:-1]] >> 17)
+    bits = np.zeros(4096, dtype="uint8")
+    np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype("uint8"))
+    part = pa.array([rows.column("bucket")[0].as_py()], pa.int32())
+    return pa.table({"part": part, "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
 def prefix_signatures(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -165,19 +197,27 @@ def prefix_signatures(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 class Bitmap:
     """Membership of 64-bit keys by their low bits, in a broadcast array of fixed size. A set bit may be another key's;
-    an unset bit is sure."""
+    an unset bit is sure. Made of pieces (part, bits) of 2 ** 15 bits, of which there are 2 ** (bits - 15) at most."""
 
-    def __init__(self, keys: DataFrame, name: str, bits: int = BITS) -> None:
-        at = F.col(name).bitwiseAND((1 << bits) - 1)
-        rows = (
-            keys.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(32767).alias("bit"))
-            .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-        )  # at most 2 ** (bits - 15) rows of 4 KB
-        flat = np.zeros(max(1 << (bits - 3), 4096), dtype="uint8")
-        for row in rows:
+    def __init__(self, pieces: DataFrame, bits: int) -> None:
+        flat = np.zeros(1 << (bits - 3), dtype="uint8")
+        for row in pieces.groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).toLocalIterator():
             flat[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(row.bits, "uint8")
         self.bits = bits
-        self.shared: Broadcast = keys.sparkSession.sparkContext.broadcast(flat)
+        self.shared: Broadcast = pieces.sparkSession.sparkContext.broadcast(flat)
+
+    @staticmethod
+    def of(keys: DataFrame, name: str, bits: int) -> Bitmap:
+        """Of the values of a column."""
+        at = F.col(name).bitwiseAND((1 << bits) - 1)
+        slots = keys.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(32767).alias("bit"))
+        return Bitmap(slots.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")), bits)
+
+    @staticmethod
+    def of_repeated(texts: DataFrame, parts_of, bits: int, subs: int) -> Bitmap:
+        """Of the keys, among all that ``parts_of`` finds in batches of texts, that come at least twice."""
+        dealt = texts.mapInArrow(_dealt(parts_of, bits, subs), "bucket int, sub int, keys binary")
+        return Bitmap(dealt.groupBy("bucket", "sub").applyInArrow(_repeated, "part int, bits binary"), bits)
 
     def has(self, x: np.ndarray) -> np.ndarray:
         at = x & np.uint64((1 << self.bits) - 1)
@@ -187,12 +227,20 @@ class Bitmap:
         self.shared.destroy()
 
 
-def _signatures(bitmap: Bitmap):
+def _signed(often: Bitmap):
+    """All signatures of the batch's sets."""
+    return lambda batch: [prefix_signatures(x, often.has(x)) for _, x in _distinct_sets(batch)]
+
+
+def _signatures(often: Bitmap, twice: Bitmap):
+    """(sig, node) of the signatures that may come twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, parts = [], []
             for node, x in _distinct_sets(batch):
-                parts.append(prefix_signatures(x, bitmap.has(x)))
+                found = prefix_signatures(x, often.has(x))
+                parts.append(found[twice.has(found)])
                 nodes.append(np.full(len(parts[-1]), node, dtype="int64"))
             if parts:
                 arrays = [_longs(np.concatenate(parts)), pa.array(np.concatenate(nodes))]
@@ -216,18 +264,20 @@ def _packed_sets(bitmap: Bitmap):
     return run
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def tokens(x: bytes) -> np.ndarray:
-        out = np.zeros((len(x) // 6, 8), dtype="uint8")
-        out[:, :6] = np.frombuffer(x, "uint8").reshape(-1, 6)
-        return out.view("uint64").ravel()
+def _unpacked(x: bytes) -> np.ndarray:
+    """Tokens in ascending order."""
+    out = np.zeros((len(x) // 6, 8), dtype="uint8")
+    out[:, :6] = np.frombuffer(x, "uint8").reshape(-1, 6)
+    return np.sort(out.view("uint64").ravel())
+
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = [batch.column(c) for c in ("a", "b", "a_tokens", "b_tokens")]
         a_out, b_out = [], []
         for at in range(batch.num_rows):
             a, b, x, y = (c[at].as_py() for c in cols)
-            x, y = tokens(x), tokens(y)
+            x, y = _unpacked(x), _unpacked(y)
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= 80 * (len(x) + len(y) - both):
                 a_out.append(a)
@@ -250,17 +300,80 @@ def _wide(rows: DataFrame) -> DataFrame:
     return rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
 
 
-def _open(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows (sig, node, band) whose signature has several components among sets of a fitting size, with their component:
-    under their own band, and under all bands where they may be a partner."""
-    named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _compared(rows: pa.Table) -> pa.Table:
+    """Links between the sets of a cell that share a signature, lie in neighbouring bands and different components, and, in a cell
+    of two different stripes, come from both. A pair that links found here connect already is not compared."""
+    nodes = rows.column("node").to_numpy()
+    bands, stripes = rows.column("band").to_numpy(), rows.column("stripe").to_numpy()
+    crossing = len(rows) > 0 and rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    sets = [_unpacked(x) for x in rows.column("tokens").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    _, top = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+    sigs = rows.column("sigs").combine_chunks()
+    flat = sigs.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(nodes)), sigs.value_lengths().to_numpy())
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    cuts = np.append(np.flatnonzero(np.diff(flat, prepend=~flat[:1])), len(flat))
+    place = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    mine = np.argsort(owner, kind="stable")
+    starts = np.searchsorted(owner[mine], np.arange(len(nodes) + 1))
+    a_out, b_out = [], []
+    for x in range(len(nodes)):
+        groups = place[mine[starts[x] : starts[x + 1]]]
+        near = np.unique(np.concatenate([owner[cuts[g] : cuts[g + 1]] for g in groups])) if len(groups) else np.empty(0, "int64")
+        near = near[(near > x) & (np.abs(bands[near] - bands[x]) <= 1) & (top[near] != top[x])]
+        near = near[(100 * sizes[near] >= 80 * sizes[x]) & (80 * sizes[near] <= 100 * sizes[x])]
+        if crossing:
+            near = near[stripes[near] != stripes[x]]
+        for at in range(0, len(near), 256):
+            part = near[at : at + 256]
+            part = part[top[part] != top[x]]
+            if not len(part):
+                continue
+            tokens = np.concatenate([sets[y] for y in part])
+            found = sets[x][np.minimum(np.searchsorted(sets[x], tokens), sizes[x] - 1)] == tokens
+            both = np.add.reduceat(found.astype("int64"), np.cumsum(sizes[part]) - sizes[part])
+            for y in part[100 * both >= 80 * (sizes[x] + sizes[part] - both)]:
+                if top[y] != top[x]:
+                    top[top == top[y]] = top[x]
+                    a_out.append(nodes[x])
+                    b_out.append(nodes[y])
+    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+
+def _settled(own: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect what ``labels`` leave apart, exactly up to connectivity.
+
+    Sets that share a signature with another component make a candidate graph. Each of its components is compared in one task,
+    several small ones together; one of more than ``CELL_BYTES`` is cut into stripes, and each two stripes meet in a
+    cell, so a task's share is bounded whatever a group's size. A set is sent once (or once per stripe) instead of
+    once per pair, and no pairs are written."""
+    named = own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "labelled")
-    several = _wide(named).groupBy("sig", "band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    several = small(materialize(several.where("x != y").select("sig", "band"), "open"))
-    return named.join(several, ["sig", "band"]), _wide(named).join(several, ["sig", "band"])
-
-
-def similar_sets(docs: DataFrame, *, frequent: int = FREQUENT, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    several = _wide(named).groupBy("sig", "band").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("rep")
+    )
+    several = small(materialize(several.where("x != y").select("sig", "band", "rep"), "open"))
+    left = materialize(named.join(several, ["sig", "band"]), "open-signatures")
+    graph = components(left.select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    rows = left.groupBy("node", "component", "band").agg(F.collect_list("sig").alias("sigs"))
+    rows = rows.join(graph.withColumnRenamed("component", "grp"), "node").join(sets, "node")
+    rows = materialize(rows, "open-sets")
+    size = F.sum(F.octet_length("tokens") + 8 * F.size("sigs"))
+    groups = materialize(rows.groupBy("grp").agg(F.ceil(size / CELL_BYTES).cast("int").alias("stripes")), "group-sizes")
+    tasks = rows.agg(F.ceil(size / CELL_BYTES)).first()[0] or 1
+    rows = rows.join(groups, "grp").withColumn("stripe", F.pmod(F.xxhash64("node"), "stripes").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("stripes") - 1))
+    cells = rows.withColumn("other", other).select(
+        F.when(F.col("stripes") > 1, F.xxhash64("grp")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(tasks))).alias("cell"),
+        F.least("stripe", "other").alias("i"), F.greatest("stripe", "other").alias("j"),
+        "node", "component", "band", "sigs", "tokens", "stripe",
+    )
+    return materialize(cells.groupBy("cell", "i", "j").applyInArrow(_compared, "a long, b long"), "links")
+
+
+def similar_sets(docs: DataFrame, *, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k, n_shingles, node) of all documents, k a hash of the text, and (node, component) of the sets that link with others."""
     spark: SparkSession = docs.sparkSession
     arrow_by_bytes(spark)
@@ -269,13 +382,15 @@ def similar_sets(docs: DataFrame, *, frequent: int = FREQUENT, bits: int = BITS)
     names = materialize(keyed.mapInArrow(_names, "doc_id long, k long, n_shingles long, node long"), "names")
     texts = rows.select("text")
 
-    counts = texts.mapInArrow(_least_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    often = Bitmap(counts.where(F.col("n") >= frequent), "token", bits)
-    signatures = texts.mapInArrow(_signatures(often), "sig long, node long")
-    twice = signatures.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y")
-    twice = small(materialize(twice.select("sig"), "shared-signatures"))
-    shared = materialize(signatures.join(twice, "sig").distinct(), "signatures")
+    total = names.agg(F.sum("n_shingles")).first()[0] or 0
+    subs = -(-total // SUB_KEYS) or 1
+    often = Bitmap.of_repeated(texts, _tokens, bits, subs)
+    twice = Bitmap.of_repeated(texts, _signed(often), bits, subs)
+    shared = materialize(texts.mapInArrow(_signatures(often, twice), "sig long, node long").distinct(), "signatures")
     often.close()
+    twice.close()
+    several = shared.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("sig")
+    shared = shared.join(small(materialize(several, "shared-signatures")), "sig")
 
     # A band holds sizes within a factor of 1.25, the largest that can link, so partners are at most one band apart.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(1.25))).cast("int")
@@ -284,42 +399,32 @@ def similar_sets(docs: DataFrame, *, frequent: int = FREQUENT, bits: int = BITS)
     groups = _wide(own).groupBy("sig", "band").agg(F.min("node").alias("rep"), F.max("node").alias("y")).where("rep != y")
     own = materialize(own.join(small(materialize(groups.drop("y"), "groups")), ["sig", "band"]), "banded")
 
-    wanted = Bitmap(own.select("node").distinct(), "node", bits)
+    wanted = Bitmap.of(own.select("node"), "node", bits)
     packed = texts.mapInArrow(_packed_sets(wanted), "node long, tokens binary")
     sets = materialize(packed.dropDuplicates(["node"]).join(own.select("node").distinct(), "node", "left_semi"), "sets")
     wanted.close()
 
-    # Each set against the least set that it meets, then against the least of each signature that still has several
-    # components, then all that are left: pairs within a component are settled and never compared.
+    # Each set against the least set that it meets, then all that are left: pairs within a component are settled.
     first = own.where("node != rep").groupBy("node").agg(F.min("rep").alias("b")).withColumnRenamed("node", "a")
     links = _links(first, sets)
-    own = own.drop("rep")
-    left, partners = _open(own, components(links))
-    least = partners.groupBy("sig", "band").agg(F.min(F.struct("component", "node")).alias("m"))
-    second = left.join(least, ["sig", "band"]).where("component != m.component")
-    links = links.union(_links(second.select(F.col("node").alias("a"), F.col("m.node").alias("b")).distinct(), sets))
-    left, partners = _open(own, components(links))
-    other = partners.select("sig", "band", F.col("node").alias("b"), F.col("component").alias("b_component"))
-    third = left.join(other, ["sig", "band"]).where("component < b_component")
-    links = links.union(_links(third.select(F.col("node").alias("a"), "b").distinct(), sets))
-    return names, components(links)
-
-
-def similar_documents(docs: DataFrame, *, frequent: int = FREQUENT, bits: int = BITS) -> DataFrame:
+    return names, components(links.union(_settled(own.drop("rep"), components(links), sets)))
+
+
+def similar_documents(docs: DataFrame, *, bits: int = BITS) -> DataFrame:
     """Groups of documents (doc_id, text) whose shingle sets link, directly or through others.
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct shingles of five words, or the whole
-    sequence of fewer; two sets link when 100 * intersection >= 80 * union. Equal sets are one node. Tokens that at
-    least ``frequent`` sets have in their plain prefixes count as frequent; which they are is kept in a bitmap of 2 **
-    ``bits`` bits, where a collision makes a token frequent and loses nothing. Nodes, shingles and signatures are
-    64-bit hashes, and comparisons use 48 bits of them.
+    sequence of fewer; two sets link when 100 * intersection >= 80 * union. Equal sets are one node. Tokens that
+    come in several texts count as frequent; which they are is kept in a bitmap of 2 ** ``bits`` bits, where a collision makes a
+    token frequent and loses nothing, and so are the signatures that come twice. Shingles are read anew from the texts
+    in each pass. Nodes, shingles and signatures are 64-bit hashes, and comparisons use 48 bits of them.
 
     Returns doc_id, n_shingles, component_id (least doc_id that links lead to, itself included). A null or empty text or one
     without words has an empty set and links with nothing; documents with a null doc_id are grouped but never name a group
     unless it has no other id; repeated rows give repeated results; an empty table gives no rows; other
     columns are ignored.
     """
-    names, labels = similar_sets(docs, frequent=frequent, bits=bits)
+    names, labels = similar_sets(docs, bits=bits)
     named = materialize(
         names.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "document-nodes"
     )
