@@ -201,7 +201,7 @@ class Bitmap:
 
     def __init__(self, pieces: DataFrame, bits: int) -> None:
         flat = np.zeros(1 << (bits - 3), dtype="uint8")
-        for row in pieces.groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).toLocalIterator():
+        for row in pieces.groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).collect():
             flat[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(row.bits, "uint8")
         self.bits = bits
         self.shared: Broadcast = pieces.sparkSession.sparkContext.broadcast(flat)
