@@ -54,7 +54,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keys = found.select(*text_key(F.col("text"))).distinct().toDF("__k1", "__k2")
     keys = small(materialize(keys, "contaminated"))
     k1, k2 = text_key(F.col("text").cast("string"))
-    return docs.join(keys, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
+    return docs.join(keys, (k1 == keys["__k1"]) & (k2 == keys["__k2"]), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

