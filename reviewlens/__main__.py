@@ -16,7 +16,7 @@ def main() -> None:
     parser = argparse.ArgumentParser(prog="reviewlens")
     parser.add_argument("csv", help="CSV file or folder of CSV files")
     parser.add_argument("--output", default="results", help="folder for tables, models and summaries")
-    parser.add_argument("--max-rows", type=int, default=defaults.max_rows, help="0 keeps all rows")
+    parser.add_argument("--max-rows", type=int, default=defaults.max_rows, help="draw so many rows; all by default")
     parser.add_argument("--seeds", type=int, nargs="+", default=list(defaults.seeds))
     parser.add_argument("--epochs", type=int, default=defaults.epochs)
     parser.add_argument("--batch-size", type=int, default=defaults.batch_size)

@@ -62,7 +62,7 @@ class Config:
     """One experiment. Defaults are the reference values; the learning rate is the exception:
     the networks here start from random weights, so they need a larger step."""
 
-    max_rows: int | None = 100_000
+    max_rows: int | None = None
     test_size: float = 0.20
     val_size: float = 0.10
     max_features: int = 5_000

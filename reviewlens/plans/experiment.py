@@ -30,7 +30,8 @@ def load_reviews(
     """CSV file or folder to clean, labelled reviews, at most ``max_rows`` of them."""
     rows = canonicalize(normalize_headers(read_reviews_csv(spark, path)))
     clean = clean_reviews(with_row_id(rows), strict_nulls)
-    return clean if max_rows is None else sampling.sample_n(materialize(clean, "clean"), max_rows, seed)
+    clean = materialize(clean, "clean")
+    return clean if max_rows is None else sampling.sample_n(clean, max_rows, seed)
 
 
 @dataclass

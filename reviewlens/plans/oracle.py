@@ -335,7 +335,7 @@ QUERIES: dict[str, str] = {
                      {_digest("'logit2'", "row_id")} * 8 - 4 AS c FROM clean)""",
     "sample_n": """SELECT row_id, review_text, rating, label, sentiment FROM (
         SELECT *, row_number() OVER (ORDER BY md5('sample:42:' || row_id), row_id) AS rk,
-               count(*) OVER () AS n FROM clean) WHERE rk <= least(100000, n // 2)""",
+               count(*) OVER () AS n FROM clean) WHERE rk <= 400""",
     "split_assign": "SELECT row_id, label, split FROM splits",
     "split_counts": "SELECT split, label, count(*) AS rows FROM splits GROUP BY split, label",
     "row_index": "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS row_index FROM clean",

@@ -29,6 +29,7 @@ from reviewlens.storage import materialize, scratch_path
 
 SEED = 42
 # The rated test reviews are few: smaller batches give the networks enough steps.
+SAMPLE_ROWS = 400
 CONFIG = Config(max_rows=None, batch_size=32)
 SMALL = BaselineSettings(
     logistic_iterations=30, svm_iterations=5, forest_trees=10, forest_depth=5, boosting_rounds=3,
@@ -251,9 +252,9 @@ def softmax_scores(spark, sf):
 
 
 def sample_n(spark, sf):
-    """A sample of 100,000 rows at most, half of the rows on tables smaller than that."""
+    """A sample of ``SAMPLE_ROWS`` rows."""
     rows = materialize(reviews(spark, sf), "clean")
-    return sampling.sample_n(rows, min(100_000, rows.count() // 2), SEED)
+    return sampling.sample_n(rows, SAMPLE_ROWS, SEED)
 
 
 def split_assign(spark, sf):
