@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm.common import arrow_by_bytes
-from reviewlens.llm.tokens import CHUNKS, TwoGenerations, default_vocabulary
+from reviewlens.llm.tokens import TwoGenerations, default_vocabulary
 
 WORD_END = "</w>"
 NOWHERE = -1
@@ -100,7 +100,7 @@ def _counts(path: str):
         for batch in batches:
             words, pieces = [], []
             for text in batch.column("text").to_pylist():
-                chunks = [x for x in CHUNKS.split((text or "").lower()) if x]
+                chunks = [x for x in (text or "").lower().replace("\n", " ").split(" ") if x]
                 total = 0
                 for x in chunks:
                     n = cache[x]

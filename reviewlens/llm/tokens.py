@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-GENERATION = 100_000
-CHUNKS = re.compile("[ \n]+")
+GENERATION = 400_000
+SLICE = 100_000
 
 
 def default_vocabulary() -> str:
@@ -57,18 +57,16 @@ class ChunkEncoder:
         """The ids of a text (null: empty), four bytes each. A very long text goes in slices of chunks."""
         if not text:
             return b""
-        chunks = CHUNKS.split(text)
-        return b"".join(self._encode(chunks[i : i + GENERATION]) for i in range(0, len(chunks), GENERATION))
+        chunks = text.replace("\n", " ").split(" ")
+        return b"".join(self._encode(chunks[i : i + SLICE]) for i in range(0, len(chunks), SLICE))
 
     def _encode(self, chunks: list[str]) -> bytes:
-        import numpy as np
-
         cache = self.cache
         found = [cache[x] for x in chunks]
         if None in found:
             missing = list({x for x, ids in zip(chunks, found, strict=True) if ids is None})
             coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            new = {x: np.array(e.ids, dtype="<u4").tobytes() for x, e in zip(missing, coded, strict=True)}
+            new = {x: array("I", e.ids).tobytes() for x, e in zip(missing, coded, strict=True)}
             cache.update(new)
             found = [new[x] if ids is None else ids for x, ids in zip(chunks, found, strict=True)]
             cache.turn()
