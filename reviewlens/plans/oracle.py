@@ -94,8 +94,6 @@ CTES["combined_compat"] = _combined("raw_reviews", f"coalesce(trim(review_text,
 CTES["clean"] = _clean("combined")
 CTES["clean_compat"] = _clean("combined_compat")
 _add_split("splits", "clean")
-CTES["rated"] = "SELECT * FROM clean WHERE rating IS NOT NULL"
-_add_split("rated_splits", "rated")
 
 
 
@@ -116,7 +114,6 @@ FROM (SELECT row_id, term_idx AS idx, (1 + ln(tf)) * idf AS w
 
 
 _add_tfidf("", "splits")
-_add_tfidf("rated_", "rated_splits")
 
 
 def _aspects(lexicon: dict[str, list[str]], rounded: bool) -> str:
@@ -282,7 +279,7 @@ def _with(query: str) -> str:
                     order.append(name)
 
     visit(query)
-    heads = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    heads = ",\n".join(f"{n} AS {'MATERIALIZED ' if n == 'tf' else ''}({CTES[n]})" for n in order)
     return f"WITH {heads}\n{query}" if heads else query
 
 
@@ -454,13 +451,13 @@ QUERIES["holdout_split"] = """SELECT row_id, label, r.sentiment,
     FROM (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY md5('split:42:' || row_id), row_id) AS rk
           FROM clean) r JOIN by_sentiment_q USING (sentiment)"""
 
-_size = f"((SELECT count(*) FROM rated_vocab) + {len(TEST_LEXICON)})"
-CTES["nb_features"] = "SELECT row_id, idx, weight FROM rated_tfidf" + "".join(
-    f"\nUNION ALL SELECT row_id, CAST((SELECT count(*) FROM rated_vocab) + {j} AS INTEGER), asp_{a}"
-    f" FROM test_aspects JOIN rated_splits USING (row_id) WHERE asp_{a} <> 0"
+_size = f"((SELECT count(*) FROM vocab) + {len(TEST_LEXICON)})"
+CTES["nb_features"] = "SELECT row_id, idx, weight FROM tfidf" + "".join(
+    f"\nUNION ALL SELECT row_id, CAST((SELECT count(*) FROM vocab) + {j} AS INTEGER), asp_{a}"
+    f" FROM test_aspects JOIN splits USING (row_id) WHERE asp_{a} <> 0"
     for j, a in enumerate(TEST_LEXICON)
 )
-CTES["nb_sums"] = """SELECT label, idx, sum(weight) AS s FROM nb_features JOIN rated_splits USING (row_id)
+CTES["nb_sums"] = """SELECT label, idx, sum(weight) AS s FROM nb_features JOIN splits USING (row_id)
     WHERE split = 'train' GROUP BY label, idx"""
 CTES["nb_grid"] = f"""SELECT c.label, i.idx, ln(coalesce(s, 0) + 0.1) - ln(t.total + 0.1 * {_size}) AS share
     FROM (SELECT 0 AS label UNION ALL SELECT 1) c
@@ -471,25 +468,25 @@ CTES["nb_pairs"] = """SELECT a.idx, a.share AS s0, b.share AS s1
     FROM nb_grid a JOIN nb_grid b ON a.idx = b.idx AND a.label = 0 AND b.label = 1"""
 CTES["nb_logits"] = """SELECT r.row_id, r.label,
     coalesce(s0, 0) + ln((SELECT count(*) FILTER (label = 0) / CAST(count(*) AS DOUBLE)
-                          FROM rated_splits WHERE split = 'train')) AS l0,
+                          FROM splits WHERE split = 'train')) AS l0,
     coalesce(s1, 0) + ln((SELECT count(*) FILTER (label = 1) / CAST(count(*) AS DOUBLE)
-                          FROM rated_splits WHERE split = 'train')) AS l1
-    FROM rated_splits r LEFT JOIN (
+                          FROM splits WHERE split = 'train')) AS l1
+    FROM splits r LEFT JOIN (
         SELECT row_id, sum(weight * s0) AS s0, sum(weight * s1) AS s1
         FROM nb_features JOIN nb_pairs USING (idx) GROUP BY row_id) x USING (row_id)
     WHERE r.split = 'test'"""
 QUERIES["nb_scores"] = """SELECT row_id, label, round(1 / (1 + exp(l0 - l1)), 6) AS probability,
     CAST(CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM nb_logits"""
-CTES["nb_means"] = """SELECT idx, sum(weight) / (SELECT count(*) FROM rated_splits WHERE split = 'train') AS mean
-    FROM nb_features JOIN rated_splits USING (row_id) WHERE split = 'train' GROUP BY idx"""
-CTES["nb_names"] = "SELECT term_idx AS idx, term AS feature FROM rated_vocab" + "".join(
-    f"\nUNION ALL SELECT CAST((SELECT count(*) FROM rated_vocab) + {j} AS INTEGER), 'asp_{a}'"
+CTES["nb_means"] = """SELECT idx, sum(weight) / (SELECT count(*) FROM splits WHERE split = 'train') AS mean
+    FROM nb_features JOIN splits USING (row_id) WHERE split = 'train' GROUP BY idx"""
+CTES["nb_names"] = "SELECT term_idx AS idx, term AS feature FROM vocab" + "".join(
+    f"\nUNION ALL SELECT CAST((SELECT count(*) FROM vocab) + {j} AS INTEGER), 'asp_{a}'"
     for j, a in enumerate(TEST_LEXICON)
 )
 QUERIES["linear_attributions"] = """SELECT row_id, CAST(rk AS INTEGER) AS rank, feature, round(v, 6) AS contribution
     FROM (SELECT row_id, feature, v, row_number() OVER (PARTITION BY row_id ORDER BY round(abs(v), 9) DESC, idx) AS rk
           FROM (SELECT row_id, idx, feature, (s1 - s0) * (weight - coalesce(mean, 0)) AS v
-                FROM nb_features JOIN rated_splits USING (row_id) JOIN nb_pairs USING (idx)
+                FROM nb_features JOIN splits USING (row_id) JOIN nb_pairs USING (idx)
                 JOIN nb_names USING (idx) LEFT JOIN nb_means USING (idx) WHERE split = 'test'))
     WHERE rk <= 5"""
 QUERIES["results_json"] = f"""SELECT count(*) FILTER (model = '{SINGLE_TASK}')::INTEGER AS single_runs,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +27,8 @@ from reviewlens.sources import (
 from reviewlens.storage import materialize, scratch_path
 
 SEED = 42
-# The rated test reviews are few: smaller batches give the networks enough steps.
 SAMPLE_ROWS = 400
+# The test reviews are few: smaller batches give the networks enough steps.
 CONFIG = Config(max_rows=None, batch_size=32)
 SMALL = BaselineSettings(
     logistic_iterations=30, svm_iterations=5, forest_trees=10, forest_depth=5, boosting_rounds=3,
@@ -271,7 +270,7 @@ def split_counts(spark, sf):
 
 
 def row_index(spark, sf):
-    return sampling.row_index(reviews(spark, sf).select("row_id"))
+    return sampling.row_index(materialize(reviews(spark, sf).select("row_id"), "clean"))
 
 
 def epoch_batches(spark, sf):
@@ -281,12 +280,13 @@ def epoch_batches(spark, sf):
 
 
 def eval_batches(spark, sf):
-    rows = reviews(spark, sf).select("row_id")
+    rows = materialize(reviews(spark, sf).select("row_id"), "clean")
     return sampling.assign_batches(rows, 256, SEED, shuffle=False, drop_last=False)
 
 
 def folds(spark, sf):
-    return sampling.stratified_folds(reviews(spark, sf).select("row_id", "label"), 5, SEED)
+    rows = materialize(reviews(spark, sf).select("row_id", "label"), "clean")
+    return sampling.stratified_folds(rows, 5, SEED)
 
 
 # ---- text features ----
@@ -339,11 +339,12 @@ def idf(spark, sf):
 
 
 def _tfidf(spark, sf) -> tuple[features.TfidfModel, DataFrame]:
-    split = materialize(split_reviews(spark, sf), "split")
+    split = split_reviews(spark, sf)
     return features.TfidfModel.fit(train_rows(split)), split
 
 
 def sublinear_tf(spark, sf):
+    """Weights by position of each review's terms."""
     model, split = _tfidf(spark, sf)
     rows = model.counts(split).select(
         "row_id", F.inline(F.arrays_zip("_tf.indices", "_tf.values"))
@@ -368,7 +369,7 @@ def feature_rows(spark, sf):
 
 
 def encode_fixed(spark, sf):
-    split = materialize(split_reviews(spark, sf), "split")
+    split = split_reviews(spark, sf)
     words = features.token_vocabulary(train_rows(split))
     rows = features.encode_fixed(split, words)
     return rows.select(
@@ -483,15 +484,11 @@ def metric_matrix(spark, sf):
     return report.metric_matrix(models(spark, sf), [*BASELINES, *NETS])
 
 
-# ---- models: trained on the rated reviews ----
-
-
-def _rated(spark, sf) -> DataFrame:
-    return materialize(reviews(spark, sf).filter(F.col("rating").isNotNull()), "rated")
+# ---- models: trained on all clean reviews ----
 
 
 def _model_features(spark, sf) -> tuple[Features, DataFrame]:
-    data, val, _ = features_of(_rated(spark, sf), CONFIG, TEST_LEXICON)
+    data, val, _ = features_of(materialize(reviews(spark, sf), "clean"), CONFIG, TEST_LEXICON)
     return data, val
 
 
@@ -556,7 +553,7 @@ def net_multi(spark, sf):
 
 def multi_seed(spark, sf):
     data, val = _model_features(spark, sf)
-    return run_multi_seed(data, val, replace(CONFIG, seeds=SEEDS[:3])).seed_metrics
+    return run_multi_seed(data, val, CONFIG).seed_metrics
 
 
 def results_json(spark, sf):

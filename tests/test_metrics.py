@@ -97,6 +97,15 @@ def test_t_p_value_far_and_published(spark):
     assert round(spark.range(1).select(t_p_value(F.lit(4.06), F.lit(4))).first()[0], 4) == 0.0153
 
 
+def test_t_p_value_has_no_switch(spark):
+    p = lambda t, nu: spark.range(1).select(t_p_value(F.lit(t), F.lit(nu))).first()[0]
+    assert p(1.5, 19_999) == pytest.approx(p(1.5, 20_001), abs=1e-8)
+    assert p(1.5, 3_000_000_000) == pytest.approx(math.erfc(1.5 / math.sqrt(2)), abs=1e-8)
+    assert 0 < p(15.0, 50) < p(12.0, 50) < 1e-15
+    assert p(15.0, 1) == pytest.approx(1 - 2 / math.pi * math.atan(15), rel=1e-8)
+    assert p(0.0, 3_000_000_000) == pytest.approx(1)
+
+
 def test_ttest_needs_three_values_and_variance(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.0), ("b", 1.0), ("b", 1.0)], "g string, v double")
     assert all(r["t"] is None and r["p_value"] is None for r in statistics.ttest_1samp(df, "v", ["g"]).collect())
