@@ -75,6 +75,7 @@ class Config:
     warmup_ratio: float = 0.15
     clip_norm: float = 1.0
     dropout: float = 0.4
+    workers: int = 4  # parallel workers of a network, whatever the data and the cluster
     hidden_dim: int = 256
     sentiment_weight: float = 0.5
     recommend_weight: float = 1.0

@@ -1,10 +1,10 @@
 """Single-task and multi-task networks trained data-parallel over Spark partitions.
 
-The training rows are spread once over ``workers`` partitions. In each epoch every partition starts
-from the same weights, runs mini-batch AdamW over its own rows in a new hash order, and returns its
-weights; Spark averages them by row count. Rows stream through a task one batch at a time. With one
-worker, the choice for small data, this is plain sequential mini-batch training. Only weights (a
-fixed size, independent of the data) pass through the driver.
+The training rows are dealt once by a hash of row_id to ``workers``, a setting that depends neither on the rows nor on
+the cluster. In each epoch every worker starts from the same weights, runs mini-batch AdamW over its own rows in a new
+hash order, and returns its weights; Spark averages them by row count. Rows stream through a task one batch at a
+time, and every row is trained: a worker's last batch may be smaller, and its step is scaled by its share of a full batch.
+Only weights (of a checked size, independent of the data) pass through the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +31,8 @@ from reviewlens.operators.statistics import class_weight_map
 RECOMMEND, SENTIMENT = "recommend", "sentiment"
 CLASSES = {RECOMMEND: 2, SENTIMENT: 3}
 CHUNK = 65_536
-BATCHES_PER_WORKER = 64
+#: Bytes of the weights and both moments, which are broadcast in each epoch.
+MAX_STATE_BYTES = 1 << 30
 
 Weights = dict[str, np.ndarray]
 
@@ -194,7 +195,7 @@ def _dense(rows: pd.DataFrame, inputs: int) -> np.ndarray:
 
 
 def _batches(parts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Cut the stream into full batches; the last partial one is dropped."""
+    """Cut the stream into full batches; the last one may be smaller."""
     held: pd.DataFrame | None = None
     for part in parts:
         held = part if held is None or held.empty else pd.concat([held, part], ignore_index=True)
@@ -203,6 +204,8 @@ def _batches(parts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]
             yield held.iloc[start : start + size]
             start += size
         held = held.iloc[start:]
+    if held is not None and len(held):
+        yield held
 
 
 # ---- training ----
@@ -217,9 +220,10 @@ class NetModel:
     best: int | None
     history: list[tuple[int, float, float]] = field(default_factory=list)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Row ids, labels, logits per task, probability of class 1 and predicted classes."""
-        spec, shared = self.spec, df.sparkSession.sparkContext.broadcast(self.weights)
+    def transform(self, df: DataFrame, shared: Broadcast | None = None) -> DataFrame:
+        """Row ids, labels, logits per task, probability of class 1 and predicted classes. The weights are broadcast with the
+        returned frame and go with it; a caller that is sooner done passes a broadcast of its own and destroys it."""
+        spec, shared = self.spec, shared or df.sparkSession.sparkContext.broadcast(self.weights)
 
         def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
@@ -288,67 +292,70 @@ def _join_chunks(like: Weights, rows: list[tuple[str, int, np.ndarray]]) -> Weig
     }
 
 
-def _worker_count(spark: SparkSession, rows: int, batch_size: int) -> int:
-    """One worker per 64 batches of rows, up to the cores of the cluster."""
-    return max(1, min(spark.sparkContext.defaultParallelism, rows // (batch_size * BATCHES_PER_WORKER)))
-
-
 def _run_epoch(train: DataFrame, state: Weights, spec: NetSpec, policy: Policy, class_weights: np.ndarray,
-               seed: int, epoch: int, steps: int, returned_once: bool) -> tuple[Weights, float]:
-    """One epoch on every partition and the row-weighted mean of what they return. ``state`` holds
-    the weights and both moment estimates (keys ending in ``/m`` and ``/v``). With one worker there is
-    nothing to average (``returned_once``)."""
+               seed: int, epoch: int, steps: dict[int, int]) -> tuple[Weights, float]:
+    """One epoch of every worker and the row-weighted mean of what they return. ``state`` holds the weights and both
+    moment estimates (keys ending in ``/m`` and ``/v``); ``steps`` has the batches of each worker in an epoch."""
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(state)
-    total, warmup = steps * policy.epochs, int(policy.warmup_ratio * steps * policy.epochs)
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = {n: x.copy() for n, x in shared.value.items()}
         w = {n: x for n, x in local.items() if "/" not in n}
         m, v = ({n: local[f"{n}/{s}"] for n in w} for s in "mv")
-        rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
-        done, losses = 0, 0.0
+        done, trained, losses = 0, 0, 0.0
         for rows in _batches(parts, policy.batch_size):
+            if not done:
+                worker = int(rows["worker"].iloc[0])
+                rng = np.random.default_rng([seed, epoch, worker])
+                total = steps[worker] * policy.epochs
+                warmup = int(policy.warmup_ratio * total)
             targets = {RECOMMEND: rows["label"].to_numpy(), SENTIMENT: rows["sentiment"].to_numpy()}
             x = _dense(rows, spec.inputs)
             loss, grads = loss_and_gradients(spec, w, x, targets, class_weights, rng)
-            step = (epoch - 1) * steps + done
-            adamw_step(w, m, v, grads, step, learning_rate(step, total, warmup, policy.learning_rate), policy)
-            done, losses = done + 1, losses + loss
+            step = (epoch - 1) * steps[worker] + done
+            rate = learning_rate(step, total, warmup, policy.learning_rate) * len(rows) / policy.batch_size
+            adamw_step(w, m, v, grads, step, rate, policy)
+            done, trained, losses = done + 1, trained + len(rows), losses + loss * len(rows)
         if done:
-            out = [("/loss", 0, np.array([losses / done])), *_chunks(local)]
+            out = [("/loss", 0, np.array([losses / trained])), *_chunks(local)]
             for start in range(0, len(out), 16):
                 names, chunks, values = zip(*out[start : start + 16])
-                yield pd.DataFrame({"tensor": names, "chunk": chunks, "values": values, "n": float(done)})
+                yield pd.DataFrame({"tensor": names, "chunk": chunks, "values": values, "n": float(trained)})
 
     # the hash order is new in every epoch and local to the partition: no shuffle
     ordered = train.withColumn("_o", order_hash(f"epoch{epoch}", seed, "row_id")).sortWithinPartitions("_o", "row_id")
-    returned = ordered.select("label", "sentiment", "indices", "values").mapInPandas(
+    returned = ordered.select("worker", "label", "sentiment", "indices", "values").mapInPandas(
         work, "tensor string, chunk int, values array<double>, n double"
     )
-    if returned_once:
-        mean = returned
-    else:
-        mean = (
-            returned.withColumn("_v", array_to_vector("values"))
-            .groupBy("tensor", "chunk")
-            .agg(Summarizer.mean(F.col("_v"), F.col("n")).alias("_mean"))
-            .withColumn("values", vector_to_array("_mean"))
-        )
+    mean = (
+        returned.withColumn("_v", array_to_vector("values"))
+        .groupBy("tensor", "chunk")
+        .agg(Summarizer.mean(F.col("_v"), F.col("n")).alias("_mean"))
+        .withColumn("values", vector_to_array("_mean"))
+    )
     rows = _model_rows(mean)
     shared.destroy()
-    loss = next((values[0] for tensor, _, values in rows if tensor == "/loss"), None)
-    if loss is None:
-        raise ValueError("no full batch: use fewer workers or a smaller batch size")
+    loss = next(values[0] for tensor, _, values in rows if tensor == "/loss")
     return _join_chunks(state, [r for r in rows if r[0] != "/loss"]), float(loss)
 
 
 def val_macro_f1(model: NetModel, val: DataFrame) -> float:
-    scored = model.transform(val).withColumn("model", F.lit("net"))
+    shared = val.sparkSession.sparkContext.broadcast(model.weights)
+    scored = model.transform(val, shared).withColumn("model", F.lit("net"))
     row = metrics.accuracy_f1(scored).first()
+    shared.destroy()
     return float(row["macro_f1"]) if row else 0.0
 
 
+def dealt_to_workers(train: DataFrame, workers: int) -> DataFrame:
+    """The training rows with their ``worker``, one partition each; who gets a row follows from its row_id alone."""
+    rows = train.select("row_id", "label", "sentiment", "indices", "values")
+    return rows.withColumn("worker", F.pmod(F.xxhash64("row_id"), F.lit(workers)).cast("int")).repartitionById(
+        workers, F.col("worker")
+    )
+
+
 def train_net(
     train: DataFrame,
     val: DataFrame,
@@ -359,23 +366,18 @@ def train_net(
     policy: Policy = Policy(),
     hidden: int = 256,
     dropout: float = 0.4,
-    workers: int | None = None,
+    workers: int = Config.workers,
 ) -> NetModel:
     """Train on feature rows (row_id, label, sentiment, indices, values) and keep the weights of the
-    epoch with the best macro F1 of the recommend head on ``val``; the earliest wins ties."""
+    epoch with the best macro F1 of the recommend head on ``val``; the earliest wins ties. The model depends
+    on the rows, the seed and the settings, ``workers`` among them, not on the number of cores."""
     spec = NetSpec(inputs, tuple(tasks), tuple(task_weights or [1.0] * len(tasks)), hidden, dropout)
-    n = train.count()
-    if n < policy.batch_size:
-        raise ValueError(f"{n} training rows do not fill one batch of {policy.batch_size}")
-    workers = workers or _worker_count(train.sparkSession, n, policy.batch_size)
-    steps = max(1, n // (policy.batch_size * workers))
     weights_of = class_weight_map(train)
     class_weights = np.array([weights_of.get(c, 0.0) for c in range(CLASSES[RECOMMEND])])
-    spread_rows = (
-        train.select("row_id", "label", "sentiment", "indices", "values")
-        .repartition(workers, "row_id")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    size = 12 * sum(math.prod(shape) for shape in spec.shapes().values())
+    if size > MAX_STATE_BYTES:
+        raise ValueError(f"weights and moments of {size} bytes: more than {MAX_STATE_BYTES} are not broadcast")
+    dealt = dealt_to_workers(train, workers).persist(StorageLevel.MEMORY_AND_DISK)
     weights = spec.initial(seed)
     state = dict(weights)
     for s in "mv":
@@ -383,8 +385,12 @@ def train_net(
     model, best_f1 = NetModel(spec, weights, None), 0.0
     history = []
     try:
+        counts = dealt.groupBy("worker").count().collect()  # one row per worker
+        if not counts:
+            raise ValueError("no training rows")
+        steps = {row["worker"]: math.ceil(row["count"] / policy.batch_size) for row in counts}
         for epoch in range(1, policy.epochs + 1):
-            state, loss = _run_epoch(spread_rows, state, spec, policy, class_weights, seed, epoch, steps, workers == 1)
+            state, loss = _run_epoch(dealt, state, spec, policy, class_weights, seed, epoch, steps)
             now = NetModel(spec, {n_: x for n_, x in state.items() if "/" not in n_}, epoch)
             f1 = val_macro_f1(now, val)
             history.append((epoch, loss, f1))
@@ -393,21 +399,22 @@ def train_net(
             elif model.best is None:
                 model = replace(now, best=None)
     finally:
-        spread_rows.unpersist()
+        dealt.unpersist()
     model.history = history
     return model
 
 
-def train_single_task(train, val, inputs, seed, config: Config = Config(), **more) -> NetModel:
+def train_single_task(train, val, inputs, seed, config: Config = Config()) -> NetModel:
     return train_net(
-        train, val, inputs, (RECOMMEND,), (1.0,), seed, Policy.of(config), config.hidden_dim, config.dropout, **more
+        train, val, inputs, (RECOMMEND,), (1.0,), seed, Policy.of(config), config.hidden_dim, config.dropout,
+        config.workers,
     )
 
 
-def train_multi_task(train, val, inputs, seed, config: Config = Config(), **more) -> NetModel:
+def train_multi_task(train, val, inputs, seed, config: Config = Config()) -> NetModel:
     return train_net(
         train, val, inputs, (SENTIMENT, RECOMMEND), (config.sentiment_weight, config.recommend_weight), seed,
-        Policy.of(config), config.hidden_dim, config.dropout, **more,
+        Policy.of(config), config.hidden_dim, config.dropout, config.workers,
     )
 
 

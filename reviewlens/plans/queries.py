@@ -30,10 +30,7 @@ SEED = 42
 SAMPLE_ROWS = 400
 # The test reviews are few: smaller batches give the networks enough steps.
 CONFIG = Config(max_rows=None, batch_size=32)
-SMALL = BaselineSettings(
-    logistic_iterations=30, svm_iterations=5, forest_trees=10, forest_depth=5, boosting_rounds=3,
-    boosting_depth=3,
-)
+SETTINGS = BaselineSettings()
 SEEDS = Config().seeds
 NETS = (SINGLE_TASK, MULTI_TASK)
 BASELINES = ("Logistic Regression", "Naive Bayes", "SVM", "Random Forest", "Gradient Boosting")
@@ -511,23 +508,23 @@ def linear_attributions(spark, sf):
 
 
 def baseline_suite(spark, sf):
-    """All five baselines, with fewer trees and iterations than the defaults."""
+    """All five baselines with their default settings."""
     data, _ = _model_features(spark, sf)
     results, _ = baselines.train_and_evaluate(
-        data.train, data.test, include_trees=True, settings=SMALL, data=data
+        data.train, data.test, include_trees=True, settings=SETTINGS, data=data
     )
     return results.select("model", "type", "status", *statistics.METRICS)
 
 
 def calibrated_svm(spark, sf):
     data, _ = _model_features(spark, sf)
-    model = fit_calibrated_svm(data.train, SMALL.svm_folds, SMALL.svm_iterations)
+    model = fit_calibrated_svm(data.train, SETTINGS.svm_folds, SETTINGS.svm_iterations)
     return model.transform(data.test).select("row_id", "label", "probability", "prediction")
 
 
 def logistic_attributions(spark, sf):
     data, _ = _model_features(spark, sf)
-    model = baselines.fit_logistic(data.train, SMALL.logistic_iterations)
+    model = baselines.fit_logistic(data.train, SETTINGS.logistic_iterations)
     names = [*data.tfidf.terms, *features.aspect_columns(TEST_LEXICON)]
     means = baselines.feature_means(data.train)
     return baselines.linear_attributions(data.test, model.coefficients.tolist(), means, names, 5)

@@ -10,9 +10,11 @@ from reviewlens.models.calibrated_svm import fit_calibrated_svm
 from reviewlens.models.naive_bayes import fit_naive_bayes
 from reviewlens.operators import features, metrics
 from reviewlens.plans.experiment import features_of, run_experiment
-from reviewlens.plans.queries import SMALL
 from reviewlens.storage import materialize
 
+SMALL = baselines.BaselineSettings(
+    logistic_iterations=30, svm_iterations=5, forest_trees=10, forest_depth=5, boosting_rounds=3, boosting_depth=3
+)
 GOOD = ["great", "lovely", "sturdy", "excellent", "perfect", "helpful"]
 BAD = ["broken", "awful", "refund", "cheap", "slow", "useless"]
 
@@ -134,17 +136,43 @@ def test_learning_rate_schedule():
     assert all(a < b for a, b in zip(rates[:15], rates[1:16])) and all(a > b for a, b in zip(rates[15:], rates[16:]))
 
 
-def test_batches_drop_the_last_partial_one():
+def test_the_last_batch_may_be_smaller():
     import pandas as pd
 
     parts = [pd.DataFrame({"x": range(a, b)}) for a, b in ((0, 5), (5, 6), (6, 23))]
     got = [list(b["x"]) for b in net._batches(iter(parts), 4)]
-    assert got == [list(range(i, i + 4)) for i in range(0, 20, 4)]
+    assert got == [list(range(i, min(i + 4, 23))) for i in range(0, 23, 4)]
+    assert list(net._batches(iter([]), 4)) == []
+
+
+def test_workers_follow_from_the_row_ids(spark, data):
+    d, _, _ = data
+    per_row = lambda rows: {r["row_id"]: r["worker"] for r in net.dealt_to_workers(rows, 3).collect()}
+    got = per_row(d.train)
+    assert got == per_row(d.train.repartition(7)) and set(got.values()) == {0, 1, 2}
+    dealt = net.dealt_to_workers(d.train, 3).withColumn("part", F.spark_partition_id())
+    assert dealt.select("worker", "part").distinct().count() == 3
+
+
+def test_same_model_on_any_layout_and_with_few_rows(data):
+    d, val, _ = data
+    config = replace(CONFIG, epochs=1)
+    a, b = (net.train_multi_task(x, val, d.size, 5, config) for x in (d.train, d.train.repartition(7)))
+    assert all(np.allclose(a.weights[n], b.weights[n], atol=1e-5) for n in a.weights)
+    few = net.train_single_task(d.train.filter("row_id < 20"), val, d.size, 5, config)
+    assert len(few.history) == 1
+
+
+def test_large_weights_are_refused(data):
+    d, val, _ = data
+    with pytest.raises(ValueError, match="not broadcast"):
+        net.train_net(d.train, val, 1_000_000, hidden=256)
 
 
 def test_net_learns_and_repeats(data):
+    # one worker is plain sequential training
     d, val, _ = data
-    runs = [net.train_multi_task(d.train, val, d.size, 5, CONFIG) for _ in range(2)]
+    runs = [net.train_multi_task(d.train, val, d.size, 5, replace(CONFIG, workers=1)) for _ in range(2)]
     assert runs[0].best is not None and macro_f1(runs[0].transform(d.train)) > 0.7
     assert runs[0].history[-1][1] < runs[0].history[0][1]
     a, b = ({r["row_id"]: r["probability"] for r in m.transform(d.test).collect()} for m in runs)
@@ -154,22 +182,26 @@ def test_net_learns_and_repeats(data):
 def test_averaged_workers_learn(data):
     # a third of the rows per worker: three to four times the epochs give as many steps as one worker
     d, val, _ = data
-    model = net.train_multi_task(d.train, val, d.size, 5, replace(CONFIG, epochs=12), workers=3)
+    model = net.train_multi_task(d.train, val, d.size, 5, replace(CONFIG, epochs=12, workers=3))
     assert model.best is not None and macro_f1(model.transform(d.train)) > 0.7
 
 
-def test_average_of_workers_is_weighted_by_batches(spark):
-    """Two partitions with nothing to learn from but their row counts: the mean loss is weighted."""
+def test_average_of_workers_is_weighted_by_rows(spark):
+    """Two workers with nothing to learn from but their row counts: the mean loss is weighted, and no row is left out."""
     spec = net.NetSpec(3, (net.RECOMMEND,), (1.0,), hidden=4, dropout=0.0)
-    rows = [(i, i % 2, 0, [0], [1.0]) for i in range(48)]
-    df = spark.createDataFrame(rows, "row_id long, label int, sentiment int, indices array<int>, values array<double>")
+    rows = [(i, int(i < 35), 0, [0], [1.0], int(i >= 35)) for i in range(50)]
+    schema = "row_id long, label int, sentiment int, indices array<int>, values array<double>, worker int"
+    df = spark.createDataFrame(rows, schema)
     state = spec.initial(1)
     state |= {f"{n}/{s}": np.zeros_like(x) for n, x in list(state.items()) for s in "mv"}
     policy = net.Policy(epochs=1, batch_size=8, learning_rate=0.0)
-    uneven = df.filter("row_id < 32").coalesce(1).unionByName(df.filter("row_id >= 32").coalesce(1))
-    after, loss = net._run_epoch(uneven, state, spec, policy, np.ones(2), 1, 1, 4, False)
-    assert 0 < loss < 2
-    assert all(np.allclose(after[n], state[n], atol=1e-6) for n in state if "/" not in n)
+    losses = {}
+    for name, part in (("both", df), ("first", df.filter("worker = 0")), ("second", df.filter("worker = 1"))):
+        dealt = part.repartitionById(2, F.col("worker"))
+        after, losses[name] = net._run_epoch(dealt, state, spec, policy, np.ones(2), 1, 1, {0: 5, 1: 2})
+        assert all(np.allclose(after[n], state[n], atol=1e-6) for n in state if "/" not in n)
+    assert losses["both"] == pytest.approx((35 * losses["first"] + 15 * losses["second"]) / 50)
+    assert losses["first"] != pytest.approx(losses["second"])
 
 
 def test_net_round_trip(spark, data, tmp_path):
@@ -181,10 +213,10 @@ def test_net_round_trip(spark, data, tmp_path):
     assert all(np.array_equal(model.weights[n], again.weights[n]) for n in model.weights)
 
 
-def test_too_few_rows_for_a_batch(data):
+def test_no_rows_to_train(data):
     d, val, _ = data
-    with pytest.raises(ValueError, match="batch"):
-        net.train_single_task(d.train, val, d.size, 1, Config(batch_size=10_000))
+    with pytest.raises(ValueError, match="no training rows"):
+        net.train_single_task(d.train.limit(0), val, d.size, 5, CONFIG)
 
 
 def test_failed_model_is_reported(data, reviews, monkeypatch):
