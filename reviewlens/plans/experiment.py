@@ -17,7 +17,6 @@ from reviewlens.sources import (
     normalize_headers,
     read_reviews_csv,
     results_document,
-    with_row_id,
     write_results_json,
     write_table_csv,
 )
@@ -28,8 +27,8 @@ def load_reviews(
     spark: SparkSession, path: str, max_rows: int | None = None, seed: int = 42, strict_nulls: bool = True
 ) -> DataFrame:
     """CSV file or folder to clean, labelled reviews, at most ``max_rows`` of them."""
-    rows = canonicalize(normalize_headers(read_reviews_csv(spark, path)))
-    clean = clean_reviews(with_row_id(rows), strict_nulls)
+    rows = canonicalize(normalize_headers(read_reviews_csv(spark, path, row_id=True)))
+    clean = clean_reviews(rows.withColumn("row_id", F.col("row_id").cast("long")), strict_nulls)
     clean = materialize(clean, "clean")
     return clean if max_rows is None else sampling.sample_n(clean, max_rows, seed)
 

@@ -298,6 +298,10 @@ QUERIES: dict[str, str] = {
         CASE WHEN summary IN ('nan', '') THEN NULL ELSE summary END AS summary,
         CAST(verified_purchase AS VARCHAR) AS verified_purchase,
         CAST(helpful_votes AS VARCHAR) AS helpful_votes, product_id, reviewer_id FROM raw_reviews""",
+    "csv_folder": """SELECT row_id, review_text, rating,
+        CASE WHEN summary IN ('nan', '') THEN NULL ELSE summary END AS summary,
+        CAST(verified_purchase AS VARCHAR) AS verified_purchase,
+        CAST(helpful_votes AS VARCHAR) AS helpful_votes, product_id, reviewer_id FROM raw_reviews""",
     "csv_to_clean": "SELECT * FROM clean",
     "reviews_combined": "SELECT row_id, review_text FROM combined",
     "reviews_combined_compat": "SELECT row_id, review_text FROM combined_compat",

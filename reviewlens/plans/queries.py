@@ -157,6 +157,18 @@ def csv_roundtrip(spark, sf):
     return rows.withColumn("row_id", F.col("row_id").cast("long"))
 
 
+def csv_folder(spark, sf):
+    """Write the reviews in two layouts, of other column order and with a column more, and read both at once."""
+    path = scratch_path(spark, "reviews-folder")
+    rows = messy(spark, sf)
+    even = F.col("row_id") % 2 == 0
+    write_table_csv(rows.where(even), f"{path}/even")
+    turned = rows.where(~even).withColumn("extra", F.lit("x")).select("extra", *reversed(rows.columns))
+    write_table_csv(turned, f"{path}/odd")
+    back = canonicalize(normalize_headers(read_reviews_csv(spark, f"{path}/*"))).drop("extra")
+    return back.withColumn("row_id", F.col("row_id").cast("long"))
+
+
 def csv_to_clean(spark, sf):
     path = scratch_path(spark, "reviews-csv")
     write_table_csv(messy(spark, sf), path)
@@ -575,7 +587,7 @@ ROWS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        headers_normalized, reviews_canonical, csv_roundtrip, csv_to_clean, summary_csv,
+        headers_normalized, reviews_canonical, csv_roundtrip, csv_folder, csv_to_clean, summary_csv,
         reviews_combined, reviews_combined_compat, rating_parsed, label_and_sentiment, text_stripped,
         text_lowered, null_text_dropped, long_enough, defaults_filled, dedupe_first, reviews_clean,
         reviews_clean_compat, label_profile, softmax_scores, sample_n, split_assign, holdout_split,

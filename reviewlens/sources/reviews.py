@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.config import ALIASES, CSV_NULL_TOKENS, REQUIRED_COLUMNS
-from reviewlens.storage import spread
 
-_OVERFLOW = "_overflow"
+_FLAGGED, _FILE, _PLACE = "_flagged", "_file", "_place"
+HEADER_READERS = 16
+#: A path without host comes as file:/a or file:///a.
+_NO_HOST = "^([^:/]+):///"
+#: A cell of a CSV line, quoted or not, as a regular expression.
+_CELL = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^,"][^,]*+|)'
 
 
 def _unique(names: list[str]) -> list[str]:
@@ -24,14 +34,58 @@ def _unique(names: list[str]) -> list[str]:
     return out
 
 
-def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All-string CSV scan. Lines with too many fields are skipped, short lines are padded with
-    nulls, and the usual missing-value tokens become nulls. Outer whitespace is kept.
+def _headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files by their header. Only the first line of a file that is not blank is read; files without one are left out."""
+
+    def header(file: str) -> tuple[str, ...] | None:
+        lines = spark.read.text(file)
+        first = lines.where("value != ''").head()
+        if first is None:
+            return None
+        line = first["value"].removeprefix("\ufeff")
+        if line.count('"') % 2:
+            raise ValueError(f"line break inside the header of {file}")
+        return tuple(_unique(next(csv.reader([line]))))
+
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        found = list(pool.map(header, files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, names in zip(files, found):
+        if names is not None:
+            groups.setdefault(names, []).append(file)
+    return groups
+
+
+def _csv_lines(spark: SparkSession, names: tuple[str, ...], files: list[str], options: dict) -> DataFrame:
+    """The lines of files that share a header, with their file and their place in the task that read it. Spark flags a line
+    whose number of fields is not that of the header; of these the ones with more are dropped, empty cells or not."""
+    fields = [T.StructField(n, T.StringType()) for n in [*names, _FLAGGED]]
+    rows = (
+        spark.read.options(header=True, columnNameOfCorruptRecord=_FLAGGED, **options)
+        .schema(T.StructType(fields))
+        .csv(files)
+        .select("*", F.regexp_replace("_metadata.file_path", _NO_HOST, "$1:/").alias(_FILE), F.monotonically_increasing_id().alias(_PLACE))
+    )
+    too_many = F.col(_FLAGGED).rlike(f"^(?:{_CELL},){{{len(names)}}}")
+    # Spark refuses scans of nothing but the flag, as a count would be: the last part, never true, reads another column.
+    rows = rows.filter(F.col(_FLAGGED).isNull() | ~too_many | (F.length(f"`{names[0]}`") < 0))
+    cells = [F.when(~F.col(f"`{n}`").isin(*CSV_NULL_TOKENS), F.col(f"`{n}`")).alias(n) for n in names]
+    return rows.select(*cells, _FILE, _PLACE)
+
+
+def read_reviews_csv(spark: SparkSession, path: str, *, multi_line: bool = True, row_id: bool = False) -> DataFrame:
+    """All-string CSV scan of a file or folder. Each file is read by its own header; columns that a file lacks are null.
+    Lines with too many fields are skipped, also where the cells beyond the header are empty; short lines are padded
+    with nulls, and the usual missing-value tokens become nulls. Outer whitespace is kept.
 
-    Quoted cells may hold line breaks, so one file is one task: give a large corpus as many files.
+    ``row_id`` adds the input order, by file name and then by line, unless the files have such a column; it needs ``multi_line``. Quoted cells may
+    hold line breaks, so one file is one task: give a large corpus as many files, or say ``multi_line=False`` where no
+    cell has a line break: then files are split. The driver reads the first line of each file, nothing more.
     """
+    if row_id and not multi_line:
+        raise ValueError("the input order needs files that are read whole")
     options = {
-        "multiLine": True,
+        "multiLine": multi_line,
         "quote": '"',
         "escape": '"',
         "mode": "PERMISSIVE",
@@ -39,21 +93,19 @@ def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
         "ignoreTrailingWhiteSpace": False,
         "maxCharsPerColumn": -1,
     }
-    head = spark.read.options(header=False, **options).csv(path).first()
-    if head is None:
+    listed = sorted(spark.read.text(path).inputFiles())
+    groups = _headers(spark, [unquote(f) for f in listed])
+    if not groups:
         raise ValueError(f"no header line in {path}")
-    names = _unique(["" if cell is None else cell for cell in head])
-    # One extra column: only an over-long line fills it. (A corrupt-record column would not do:
-    # with an extra column in the schema it flags every line.)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
-    rows = spark.read.options(header=True, **options).schema(schema).csv(path)
-    rows = rows.filter(F.col(_OVERFLOW).isNull())
-    return rows.select(
-        *[
-            F.when(~F.col(f"`{n}`").isin(*CSV_NULL_TOKENS), F.col(f"`{n}`")).alias(n)
-            for n in names
-        ]
-    )
+    scans = [_csv_lines(spark, names, files, options) for names, files in groups.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    if row_id and "row_id" not in {n.strip().lower() for n in rows.columns}:
+        order = spark.createDataFrame([(re.sub(_NO_HOST, r"\1:/", f), i) for i, f in enumerate(listed)], f"{_FILE} string, _rank long")
+        rows = rows.join(order, _FILE)
+        # One task reads a file, in order; its place in the task fills the lower 33 bits.
+        place = F.col(_PLACE).bitwiseAND((1 << 33) - 1)
+        rows = rows.withColumn("row_id", F.shiftleft("_rank", 33).bitwiseOR(place)).drop("_rank")
+    return rows.drop(_FILE, _PLACE)
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
@@ -83,15 +135,10 @@ def canonicalize(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFr
     return df.select(*columns)
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """Add the input order as ``row_id`` (by split, then by line) where the data has no key."""
-    return df if "row_id" in df.columns else df.withColumn("row_id", F.monotonically_increasing_id())
-
-
 def reviews_from_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled documents as raw reviews, with messy ratings, blank summaries, missing texts
     and outer whitespace. Both inputs are keyed by doc_id; Spark picks the join by their sizes."""
-    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("_labelled", F.lit(True))
     doc_id, text = F.col("doc_id"), F.col("text")
     stars = (

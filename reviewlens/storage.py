@@ -47,10 +47,3 @@ def collect_small(df: DataFrame, at_most: int, what: str) -> list[Row]:
     if len(rows) > at_most:
         raise ValueError(f"{what}: more than {at_most} rows")
     return rows
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than the cluster has cores. Large inputs have
-    more splits than cores and pass unchanged, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -132,3 +132,24 @@ def test_row_local_steps_run_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("cleaned").select("review_text", "label").collect() == [("Nice. good text here", 1)]
+
+
+def test_csv_folder_of_several_layouts(spark, tmp_path):
+    """Each file by its own header, in the order of file names whatever their sizes."""
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    (folder / "a.csv").write_text("text,rating\naaa,5\n\"a\nb\",4\n")
+    (folder / "b.csv").write_text("\ufeffrating,text,extra\n" + "1,bbb,x\n" * 500, encoding="utf-8")
+    (folder / "c.csv").write_text("")
+    rows = read_reviews_csv(spark, str(folder), row_id=True).orderBy("row_id").collect()
+    assert len(rows) == 502 and len({r["row_id"] for r in rows}) == 502
+    assert [(r["text"], r["rating"], r["extra"]) for r in rows[:3]] == [("aaa", "5", None), ("a\nb", "4", None), ("bbb", "1", "x")]
+    split = read_reviews_csv(spark, str(folder / "b.csv"), multi_line=False)
+    assert split.count() == 500 and split.columns == ["rating", "text", "extra"]
+
+
+def test_csv_lines_with_too_many_cells(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text('text,rating\na,4,\nb,4,,\n"c,""c""",4\n"d,d",4,\ne\n5" tv,3\n,\nf,1,x\n"g\n,",2\n')
+    rows = read_reviews_csv(spark, str(path)).collect()
+    assert [tuple(r) for r in rows] == [('c,"c"', "4"), ("e", None), ('5" tv', "3"), (None, None), ("g\n,", "2")]
