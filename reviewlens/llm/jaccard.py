@@ -345,7 +345,8 @@ def _compared(rows: pa.Table) -> pa.Table:
 def _settled(own: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect what ``labels`` leave apart, exactly up to connectivity.
 
-    Sets that share a signature with another component make a candidate graph. Each of its components is compared in one task,
+    Sets that share a signature with another component make a candidate graph, in which all members of a group (a signature in
+    neighbouring bands) hang together by the group's least node. Each of its components is compared in one task,
     several small ones together; one of more than ``CELL_BYTES`` is cut into stripes, and each two stripes meet in a
     cell, so a task's share is bounded whatever a group's size. A set is sent once (or once per stripe) instead of
     once per pair, and no pairs are written."""
@@ -356,7 +357,8 @@ def _settled(own: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     )
     several = small(materialize(several.where("x != y").select("sig", "band", "rep"), "open"))
     left = materialize(named.join(several, ["sig", "band"]), "open-signatures")
-    graph = components(left.select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    members = _wide(named.select("sig", "node", "band")).join(several, ["sig", "band"])
+    graph = components(members.select(F.col("node").alias("a"), F.col("rep").alias("b")))
     rows = left.groupBy("node", "component", "band").agg(F.collect_list("sig").alias("sigs"))
     rows = rows.join(graph.withColumnRenamed("component", "grp"), "node").join(sets, "node")
     rows = materialize(rows, "open-sets")

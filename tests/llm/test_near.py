@@ -83,6 +83,24 @@ def test_full_bitmaps_lose_nothing(spark, bits):
     assert found == {(i, len(sets[i]), roots[i]) for i in sets}
 
 
+@pytest.mark.parametrize("cell_bytes", [jaccard.CELL_BYTES, 2000])
+def test_growing_texts_link_across_bands(spark, monkeypatch, cell_bytes):
+    monkeypatch.setattr(jaccard, "CELL_BYTES", cell_bytes)
+    rng = np.random.default_rng(12)
+    texts = []
+    for family in range(40):
+        words, n = [f"f{family}w{i}" for i in range(400)], int(rng.integers(20, 60))
+        for _ in range(rng.integers(3, 7)):
+            texts.append(" ".join(words[:n]))
+            n = int((n - 4) * rng.uniform(1.12, 1.25)) + 4
+    rows = list(enumerate(texts))
+    sets = {i: _shingles(t) for i, t in rows}
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    roots = _roots(sets, links)
+    found = {r.doc_id: r.component_id for r in jaccard.similar_documents(_docs(spark, rows)).collect()}
+    assert found == roots
+
+
 def test_prefixes_of_linked_sets_share_a_signature():
     rng = np.random.default_rng(9)
     for _ in range(2000):
