@@ -209,6 +209,32 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(vecs.limit(0)).collect() == []
 
 
+def test_near_vectors_of_a_dense_cluster_all_link(spark):
+    rng = np.random.default_rng(10)
+    center = rng.standard_normal(32)
+    cluster = center + 0.1 * rng.standard_normal((6000, 32))
+    beside = center + 0.35 * rng.standard_normal((300, 32))
+    x = np.concatenate([cluster, beside, rng.standard_normal((2000, 32))]).astype("float32")
+    units = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True)
+    true = np.concatenate([(units[i : i + 1000] @ units.T >= 0.9).sum(axis=1) - 1 for i in range(0, len(x), 1000)])
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {r.vec_id: r for r in vectors.near_vectors(vecs.repartition(3)).collect()}
+    links = np.array([found[i].n_links for i in range(len(x))])
+    assert true[:6000].min() > 2 * vectors.WINDOW * vectors.PASSES
+    print("recall", links.sum() / true.sum(), links[6000:6300].sum() / true[6000:6300].sum(), links[6300:].sum(), true[6300:].sum())
+    assert (links <= true).all() and links[:6000].sum() >= 0.999 * true[:6000].sum()
+    assert links[6000:6300].sum() >= 0.97 * true[6000:6300].sum()
+    assert {found[i].component_id for i in range(6000)} == {0}
+
+
+def test_passes_follow_from_the_number_of_vectors():
+    p = 1 - np.arccos(0.9) / np.pi
+    for n in (0, 1, 64, 10**4, 10**6, 10**7, 10**8, 10**10):
+        bits, passes = vectors._plan(n, 0.9, vectors.PASSES, vectors.WINDOW)
+        assert passes >= vectors.PASSES and n <= vectors.WINDOW << bits
+        assert 1 - (1 - p**bits) ** passes >= vectors.RECALL
+
+
 def _words(text):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
