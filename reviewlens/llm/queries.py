@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlens.llm import (
+    collocations,
     decontaminate,
     jaccard,
     language,
     licenses,
     line_dedup,
+    merkle,
     packing,
     personal,
+    sentence_pieces,
     token_counts,
     token_files,
     vectors,
@@ -65,11 +68,24 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find_personal(table(spark, sf_dir, "documents"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.piece_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_token_files, op3_best_fit_packing, op4_line_dedup, op5_sorted_projections,
         op6_token_counts, op7_ngram_jaccard, op8_language_id, op9_decontamination, op10_personal_data,
+        op11_sentence_pieces, op12_merkle_manifest, op13_collocations,
     )
 }
 
@@ -175,10 +191,96 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """
 
 
+def _merkle_sql() -> str:
+    """Unrolled for as many levels as ``SQL_LEVELS``: enough for 16 ** 5 documents a source, and as many sources."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    other = "string_agg({x}.h, '' ORDER BY {x}.i) FILTER ({x}.i <> {y}.i)"
+    parts = [f"""
+WITH RECURSIVE bytes AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s, 1 AS pos, 4294967295::BIGINT AS c FROM documents),
+crc(doc_id, s, pos, c) AS (
+  SELECT * FROM bytes UNION ALL
+  SELECT doc_id, s, pos + 1, list_reduce(list_prepend(xor(c, ord(s[pos])::BIGINT), range(8)),
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) FROM crc WHERE pos <= length(s)),
+chosen AS (SELECT doc_id FROM crc WHERE pos > length(s) AND xor(c, 4294967295) % {merkle.TAMPERED} = 0),
+leaves AS (
+  SELECT row_number() OVER () AS rid, doc_id, source AS s, {leaf("text")} AS h,
+    CASE WHEN doc_id IN (FROM chosen) THEN {leaf(_lowered("text"))} ELSE {leaf("text")} END AS other FROM documents),
+a0 AS (SELECT s, h, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, h, rid) - 1 AS i, rid, doc_id, other FROM leaves),
+p0 AS (SELECT rid, doc_id, h AS leaf, s, i, other AS folded, '' AS proof FROM a0)"""]
+
+    def level(nodes: str, up: str, paths: str, raised: str, tree: str) -> str:
+        same = f"n.{tree} IS NOT DISTINCT FROM p.{tree}"
+        alone = f"(SELECT {tree}, count(*) AS size FROM {nodes} GROUP BY {tree})"
+        return f"""
+{up} AS (
+  SELECT {tree}, sha256(string_agg(h, '' ORDER BY i)) AS h, i // 16 AS i FROM {nodes} WHERE {tree} IN (SELECT {tree} FROM {alone} WHERE size > 1)
+    OR ({tree} IS NULL AND (SELECT size FROM {alone} WHERE {tree} IS NULL) > 1) GROUP BY {tree}, i // 16
+  UNION ALL SELECT n.{tree}, n.h, n.i FROM {nodes} n JOIN {alone} p ON {same} WHERE size = 1),
+{raised} AS (
+  SELECT p.* REPLACE (
+    p.i // 16 AS i, CASE WHEN n.size = 1 THEN p.folded ELSE sha256(n.folded) END AS folded, p.proof || coalesce(n.others, '') AS proof)
+  FROM {paths} p JOIN (
+    SELECT p.rid, any_value(z.size) AS size, string_agg(CASE WHEN n.i = p.i THEN p.folded ELSE n.h END, '' ORDER BY n.i) AS folded,
+      {other.format(x="n", y="p")} AS others
+    FROM {paths} p JOIN {nodes} n ON {same} AND n.i // 16 = p.i // 16 JOIN {alone} z ON z.{tree} IS NOT DISTINCT FROM p.{tree}
+    GROUP BY p.rid) n ON n.rid = p.rid)"""
+
+    for k in range(SQL_LEVELS):
+        parts.append(level(f"a{k}", f"a{k + 1}", f"p{k}", f"p{k + 1}", "s"))
+    parts.append(f"""
+t0 AS (SELECT 0 AS t, h, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS i, s FROM a{SQL_LEVELS}),
+q0 AS (
+  SELECT p.rid, p.doc_id, p.leaf, p.folded, p.proof, 0 AS t, n.i, n.h AS subroot
+  FROM p{SQL_LEVELS} p JOIN t0 n ON n.s IS NOT DISTINCT FROM p.s)""")
+    for k in range(SQL_LEVELS):
+        parts.append(level(f"t{k}", f"t{k + 1}", f"q{k}", f"q{k + 1}", "t"))
+    return ",".join(parts) + f"""
+SELECT doc_id, leaf, subroot, n.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = n.h AS verified
+FROM q{SQL_LEVELS} q JOIN t{SQL_LEVELS} n USING (t)
+"""
+
+
+SQL_LEVELS = 5
+
+
+def _collocation_sql() -> str:
+    return rf"""
+WITH p AS (
+  SELECT coalesce(lang, '{collocations.NO_LANGUAGE}') AS lang,
+    unnest(regexp_split_to_array({_lowered("coalesce(text, '')")}, '[.,;:!?
+-
+]')) AS x FROM documents),
+w AS (SELECT lang, regexp_extract_all(x, '[^ 	]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, {collocations.MAX_WORDS + 1}) z(k) WHERE len(w) >= k)
+  GROUP BY ALL),
+c AS (SELECT lang, k, p, f AS a FROM f WHERE k > 1 AND f >= {collocations.MIN_COUNT}),
+d AS (
+  SELECT DISTINCT lang, p FROM (
+    SELECT lang, a, unnest([x for x in [p[i:i + z.z - 1] for i in range(1, k - z.z + 2)]]) AS p
+    FROM c, range(2, {collocations.MAX_WORDS}) z(z) WHERE z.z < k) q
+  JOIN f USING (lang, p) WHERE 100 * a >= {collocations.ABSORBED_PERCENT} * f),
+s AS (
+  SELECT c.lang, c.p, a, x.f AS l, y.f AS r, ({collocations.SCALE}::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score,
+    row_number() OVER (PARTITION BY c.lang, c.p ORDER BY {collocations.SCALE}::HUGEINT * a * a // (x.f::HUGEINT * y.f), z.z) AS turn
+  FROM c, range(1, {collocations.MAX_WORDS}) z(z) JOIN f x ON x.lang = c.lang AND x.p = c.p[1:z.z] JOIN f y ON y.lang = c.lang AND y.p = c.p[z.z + 1:]
+  WHERE z.z < c.k),
+o AS (
+  SELECT s.*, array_to_string(p, ' ') AS phrase FROM s WHERE turn = 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.lang = s.lang AND d.p = s.p))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM o JOIN t USING (lang) QUALIFY rank <= {collocations.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": _license_sql(),
         "op4_line_dedup": _line_sql(),
         "op7_ngram_jaccard": _jaccard_sql(),
         "op9_decontamination": _contamination_sql(),
+        "op12_merkle_manifest": _merkle_sql(),
+        "op13_collocations": _collocation_sql(),
     }
