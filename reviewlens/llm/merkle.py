@@ -16,7 +16,6 @@ from reviewlens.storage import materialize
 FANOUT = 16
 #: Levels that one task builds at once: a block holds at most FANOUT ** LEVELS nodes.
 LEVELS = 3
-BLOCK = FANOUT**LEVELS
 DIGEST = 64  # a digest as hex text is one block of the hash function
 TAMPERED = 5
 PARTITION_BITS = 33  # of monotonically_increasing_id, below the partition's number
@@ -58,11 +57,11 @@ def resumed(state, child: bytes, right: bytes) -> bytes:
     return state.hexdigest().encode()
 
 
-def grown(digests: list[bytes], size: int) -> tuple[list[list[Parent]], list[bytes], int]:
+def grown(digests: list[bytes], size: int, most: int) -> tuple[list[list[Parent]], list[bytes], int]:
     """The parents of a block level by level, what stays on top, and how many nodes its whole tree then has.
-    ``size`` is how many it has now: a level is built while a tree has several nodes, also over a single node."""
+    ``size`` is how many it has now: up to ``most`` levels are built while a tree has several nodes, also over a single node."""
     levels: list[list[Parent]] = []
-    while size > 1 and len(levels) < LEVELS:
+    while size > 1 and len(levels) < most:
         parents = [Parent(digests[i : i + FANOUT]) for i in range(0, len(digests), FANOUT)]
         levels.append(parents)
         digests, size = [p.digest for p in parents], -(-size // FANOUT)
@@ -94,11 +93,13 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def _tops(key: tuple, group: pa.Table) -> pa.Table:
-    group = group.sort_by("place")
-    size = group["size"][0].as_py()
-    _, digests, size = grown(group["digest"].to_pylist(), size)
-    return pa.table({"tree": [key[0].as_py()], "place": [key[1].as_py()], "size": [size], "digest": [digests[0]]})
+def _tops(levels: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("place")
+        _, digests, size = grown(group["digest"].to_pylist(), group["size"][0].as_py(), levels)
+        return pa.table({"tree": [key[0].as_py()], "place": [key[1].as_py()], "size": [size], "digest": digests})
+
+    return run
 
 
 def _siblings(levels: list[list[Parent]], at: int) -> Iterator[tuple[bytes, bytes]]:
@@ -107,123 +108,127 @@ def _siblings(levels: list[list[Parent]], at: int) -> Iterator[tuple[bytes, byte
         at //= FANOUT
 
 
-def _paths(group: pa.Table, above: pa.Table) -> pa.Table:
-    group = group.sort_by("place")
-    levels, _, _ = grown(group["digest"].to_pylist(), group["size"][0].as_py())
-    upper = [(x["left"], x["right"]) for x in above["path"][0].as_py()]
-    paths = [[{"left": a, "right": b} for a, b in [*_siblings(levels, i), *upper]] for i in range(len(group))]
-    same = {x: pa.repeat(above[x][0], len(group)).cast(pa.string()) for x in ("subroot", "root")}
-    return pa.table({"tree": group["tree"], "block": group["place"], "path": pa.array(paths, PATH_TYPE), **same})
+def _paths(levels: int):
+    def run(group: pa.Table, above: pa.Table) -> pa.Table:
+        group = group.sort_by("place")
+        parents, _, _ = grown(group["digest"].to_pylist(), group["size"][0].as_py(), levels)
+        upper = [(x["left"], x["right"]) for x in above["path"][0].as_py()]
+        paths = [[{"left": a, "right": b} for a, b in [*_siblings(parents, i), *upper]] for i in range(len(group))]
+        same = {x: pa.repeat(above[x][0], len(group)) for x in ("subroot", "root")}
+        return pa.table({"tree": group["tree"], "block": group["place"], "path": pa.array(paths, PATH_TYPE), **same})
+
+    return run
 
 
 PATHS = f"tree string, block long, path {PATH}, subroot string, root string"
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("place") / BLOCK))
+def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"place div {FANOUT**levels}"))
 
 
-def grow(leaves: DataFrame) -> list[DataFrame]:
-    """The tables (tree, place, size, digest) of the nodes of many trees, each ``LEVELS`` levels above the one before, from the
-    leaves to one node a tree. ``leaves`` is a written table. A task works on blocks of at most ``BLOCK`` nodes, so time
-    and memory of a task do not depend on the size of a tree. A tree that is complete is carried on unchanged."""
+def grow(leaves: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
+    """The tables (tree, place, size, digest) of the nodes of many trees, each ``levels`` levels above the one before, from the
+    leaves to one node a tree. ``leaves`` is a written table. A task works on blocks of at most ``FANOUT ** levels`` nodes, so
+    time and memory of a task do not depend on the size of a tree. A tree that is complete is carried on unchanged."""
     tables = [leaves.select("tree", "place", "size", "digest")]
     size = leaves.agg(F.max("size")).first()[0] or 0
     while size > 1:
-        raised = _blocks(tables[-1]).groupBy("tree", "block").applyInArrow(_tops, NODES)
+        raised = _blocks(tables[-1], levels).groupBy("tree", "block").applyInArrow(_tops(levels), NODES)
         tables.append(materialize(raised, "nodes"))
-        for _ in range(LEVELS):
-            size = -(-size // FANOUT)
+        size = -(-size // FANOUT**levels)
     return tables
 
 
-def descend(tables: list[DataFrame], above: DataFrame) -> DataFrame:
+def descend(tables: list[DataFrame], above: DataFrame, levels: int = LEVELS) -> DataFrame:
     """From the paths above the tops of trees (tree, block 0, path, subroot, root) those above each block of leaves."""
     for nodes in reversed(tables[1:]):
-        groups = _blocks(nodes).groupBy("tree", "block")
-        above = materialize(groups.cogroup(above.groupBy("tree", "block")).applyInArrow(_paths, PATHS), "paths")
+        groups = _blocks(nodes, levels).groupBy("tree", "block")
+        above = materialize(groups.cogroup(above.groupBy("tree", "block")).applyInArrow(_paths(levels), PATHS), "paths")
     return above
 
 
 RESULT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
-def _proved(group: pa.Table, above: pa.Table) -> pa.Table:
-    """One block of leaves with the path above it."""
-    group = group.sort_by("place")
-    leaves = group["digest"].to_pylist()
-    levels, _, _ = grown(leaves, group["size"][0].as_py())
-    path = [(x["left"], x["right"]) for x in above["path"][0].as_py()]
-    upper = b"".join(a + b for a, b in path)
-    states = [(sha256(left), right) for left, right in path]
-    root = above["root"][0].as_py()
-    proofs, folded = [], []
-    for i, (leaf, other) in enumerate(zip(leaves, group["replacement"].to_pylist(), strict=True)):
-        proof, digest, at = sha256(), other or leaf, i
-        for parents in levels:
-            parent, slot = parents[at // FANOUT], at % FANOUT
-            for siblings in parent.beside(slot):
-                proof.update(siblings)
-            digest, at = parent.fold(slot, digest), at // FANOUT
-        proof.update(upper)
-        for state, right in states:
-            digest = resumed(state, digest, right)
-        proofs.append(proof.hexdigest())
-        folded.append(digest.decode())
-    return pa.table(
-        {
+def _proved(levels: int):
+    def run(group: pa.Table, above: pa.Table) -> pa.Table:
+        """One block of leaves with the path above it."""
+        group = group.sort_by("place")
+        leaves = group["digest"].to_pylist()
+        rows, _, _ = grown(leaves, group["size"][0].as_py(), levels)
+        path = [(x["left"], x["right"]) for x in above["path"][0].as_py()]
+        upper = b"".join(a + b for a, b in path)
+        states = [(sha256(left), right) for left, right in path]
+        root = above["root"][0].as_py()
+        proofs, folded = [], []
+        for i, (leaf, other) in enumerate(zip(leaves, group["replacement"].to_pylist(), strict=True)):
+            proof, digest, at = sha256(), other or leaf, i
+            for parents in rows:
+                parent, slot = parents[at // FANOUT], at % FANOUT
+                for siblings in parent.beside(slot):
+                    proof.update(siblings)
+                digest, at = parent.fold(slot, digest), at // FANOUT
+            proof.update(upper)
+            for state, right in states:
+                digest = resumed(state, digest, right)
+            proofs.append(proof.hexdigest())
+            folded.append(digest.decode())
+        columns = {
             "doc_id": group["doc_id"],
-            "leaf": pa.array([x.decode() for x in leaves]),
-            "subroot": pa.array([above["subroot"][0].as_py()] * len(leaves)),
-            "root": pa.array([root] * len(leaves)),
-            "proof_sha256": pa.array(proofs),
-            "folded_root": pa.array(folded),
-            "verified": pa.array([x == root for x in folded]),
+            "leaf": [x.decode() for x in leaves],
+            "subroot": pa.repeat(above["subroot"][0], len(leaves)),
+            "root": pa.repeat(above["root"][0], len(leaves)),
+            "proof_sha256": proofs,
+            "folded_root": folded,
+            "verified": [x == root for x in folded],
         }
-    )
+        return pa.table(columns)
 
+    return run
 
-def manifest(leaves: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+
+def manifest(leaves: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
     """The trees of a table of leaves (source, doc_id, digest, replacement): the node tables of all sources' trees, those of the tree
     over the sources' tops, and the placed leaves. Leaves ascend by doc_id (null first; among equal ones by digest), sources
     by their bytes (null first)."""
     keyed = leaves.withColumn("tree", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))).drop("source")
     stored = materialize(placed(materialize(keyed, "leaves"), ["doc_id", "digest"]), "leaves")
-    by_source = grow(stored)
+    by_source = grow(stored, levels)
     tops = materialize(by_source[-1].select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest"), "subroots")
     subroots = materialize(placed(tops, ["source"]), "subroots")
-    return by_source, [subroots, *grow(subroots)[1:]], stored
+    return by_source, [subroots, *grow(subroots, levels)[1:]], stored
 
 
-def prove(leaves: DataFrame) -> DataFrame:
+def prove(leaves: DataFrame, *, levels: int = LEVELS) -> DataFrame:
     """A proof for each leaf (source, doc_id, digest, replacement), and the root recomputed with its replacement (null: itself).
 
     Returns doc_id, leaf, subroot, root, proof_sha256 (the hash of all siblings from the leaf to the root), folded_root, verified
     (folded_root equals root). Folding resumes, level by level, the state kept before the leaf's slot. An empty table gives no rows;
     a lone leaf is its source's subroot and a lone subroot the root; repeated rows are leaves of their own.
     """
-    by_source, over, stored = manifest(leaves)
+    by_source, over, stored = manifest(leaves, levels)
     summit = over[-1].select(
-        F.col("tree"), F.col("place").alias("block"), F.array().cast(PATH).alias("path"), F.lit("").alias("subroot"),
+        "tree", F.col("place").alias("block"), F.array().cast(PATH).alias("path"), F.lit("").alias("subroot"),
         F.col("digest").cast("string").alias("root"),
     )
-    blocks = descend(over, summit)
-    named = over[0].select(F.col("source"), "tree", "place", "size", "digest")
-    above = _blocks(named).groupBy("tree", "block").cogroup(blocks.groupBy("tree", "block")).applyInArrow(
-        _source_paths, PATHS
-    )
-    paths = descend(by_source, materialize(above, "paths"))
-    groups = _blocks(stored).groupBy("tree", "block")
-    return groups.cogroup(paths.groupBy("tree", "block")).applyInArrow(_proved, RESULT)
+    blocks = descend(over, summit, levels)
+    named = _blocks(over[0], levels).groupBy("tree", "block").cogroup(blocks.groupBy("tree", "block"))
+    paths = descend(by_source, materialize(named.applyInArrow(_source_paths(levels), PATHS), "paths"), levels)
+    groups = _blocks(stored, levels).groupBy("tree", "block")
+    return groups.cogroup(paths.groupBy("tree", "block")).applyInArrow(_proved(levels), RESULT)
+
 
+def _source_paths(levels: int):
+    def run(group: pa.Table, above: pa.Table) -> pa.Table:
+        """The paths above the subroots, each under the name of its own tree."""
+        group = group.sort_by("place")
+        found = _paths(levels)(group, above)
+        subroots = group["digest"].cast(pa.string())
+        first = pa.array([0] * len(group), pa.int64())
+        return pa.table({"tree": group["source"], "block": first, "path": found["path"], "subroot": subroots, "root": found["root"]})
 
-def _source_paths(group: pa.Table, above: pa.Table) -> pa.Table:
-    """The paths above the subroots, under the names of their own trees."""
-    group = group.sort_by("place")
-    found = _paths(group.drop_columns("source"), above)
-    subroots = pa.array([x.decode() for x in group["digest"].to_pylist()])
-    first = pa.array([0] * len(group), pa.int64())
-    return pa.table({"tree": group["source"], "block": first, "path": found["path"], "subroot": subroots, "root": found["root"]})
+    return run
 
 
 def document_leaves(docs: DataFrame) -> DataFrame:
@@ -238,5 +243,5 @@ def document_leaves(docs: DataFrame) -> DataFrame:
     )
 
 
-def document_proofs(docs: DataFrame) -> DataFrame:
-    return prove(document_leaves(docs))
+def document_proofs(docs: DataFrame, *, levels: int = LEVELS) -> DataFrame:
+    return prove(document_leaves(docs), levels=levels)

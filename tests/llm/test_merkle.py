@@ -57,11 +57,11 @@ def _key(row):
     return tuple((x is not None, x) for x in row)
 
 
-def _check(spark, rows):
+def _check(spark, rows, **options):
     docs = spark.createDataFrame(rows, SCHEMA)
     for name in ("tree", "place", "size", "digest", "replacement"):
         docs = docs.withColumn(name, F.lit("clash"))
-    got = [tuple(r) for r in merkle.document_proofs(docs.repartition(3)).collect()]
+    got = [tuple(r) for r in merkle.document_proofs(docs.repartition(3), **options).collect()]
     assert sorted(got, key=_key) == sorted(_brute(rows), key=_key)
     return got
 
@@ -77,11 +77,9 @@ def test_small_trees(spark):
     assert any(not r[-1] for r in got) and any(r[-1] for r in got)
 
 
-def test_trees_of_every_depth_over_many_sources(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "LEVELS", 1)
-    monkeypatch.setattr(merkle, "BLOCK", 16)
+def test_trees_of_every_depth_over_many_sources(spark):
     rows = [(i, "deep", "x", i, "Text") for i in range(300)] + [(i, f"s{i % 19}", "x", i, "Text") for i in range(19 * 17)]
-    _check(spark, rows)
+    _check(spark, rows, levels=1)
 
 
 def test_trees_beyond_one_block(spark):
