@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import ascii_lower, let, text_key
+from reviewlens.llm.common import ascii_lower, let, small, text_key
 from reviewlens.storage import materialize
 
 WINDOW = 13
@@ -51,102 +51,109 @@ def fingerprints(words: Column, span: int, k: int) -> Column:
     return F.when(F.size(words) >= span, found).otherwise(none)
 
 
-def _item_prints(items: DataFrame, window: int) -> DataFrame:
-    """(level, fp, item_id, off, ctx, span): a fingerprint with the item's words around it, as far as a
-    window that covers it can reach; off words of ctx come before it."""
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, span, window): the distinct windows of each item, their words joined by spaces."""
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text").cast("string")).alias("w"))
-    rows = rows.where(F.size("w") > 0).distinct().withColumn("span", F.least(F.size("w"), F.lit(window)))
-    parts = []
-    above = None
-    for level, (span, k) in enumerate(LEVELS):
-        own = rows.where(F.col("span") >= span)
-        if above is not None:
-            own = own.where(F.col("span") < above)
-        above = span
-        one = own.select("item_id", "w", "span", F.explode(fingerprints(F.col("w"), span, k)).alias("f"))
-        first = F.greatest(F.lit(0), F.col("f.p") + k - F.col("span"))
-        parts.append(
-            one.select(
-                F.lit(level).alias("level"),
-                F.col("f.fp").alias("fp"),
-                "item_id",
-                "span",
-                (F.col("f.p") - first).alias("off"),
-                F.slice("w", first + 1, F.col("f.p") + F.col("span") - first).alias("ctx"),
-            )
+    rows = rows.where(F.size("w") > 0).withColumn("span", F.least(F.size("w"), F.lit(window)))
+    places = F.explode(F.sequence(F.lit(1), F.size("w") - F.col("span") + 1))
+    each = rows.select("item_id", "w", "span", places.alias("at"))
+    return each.select("item_id", "span", F.concat_ws(" ", F.slice("w", F.col("at"), F.col("span"))).alias("window")).distinct()
+
+
+def _prints(windows: DataFrame, span: int, k: int, most: int) -> DataFrame:
+    """(fp, off, span, window): each window of ``span`` to ``most`` words once, under the least k-gram hash of its first ``span`` words.
+    Every text that holds the window keeps this k-gram."""
+    own = windows.where(F.col("span").between(span, most)).select("window", "span").distinct()
+    hashes = F.transform(F.slice(F.split("window", " "), 1, span), lambda x: F.xxhash64(x))
+    grams = let(hashes, lambda h: F.array(*[F.xxhash64(*[F.get(h, i + j) for j in range(k)]) for i in range(span - k + 1)]))
+    found = own.withColumn("grams", grams).withColumn("fp", F.array_min("grams"))
+    return found.select("fp", (F.array_position("grams", F.col("fp")) - 1).cast("int").alias("off"), "span", "window")
+
+
+def _hits(texts: DataFrame, prints: DataFrame, span: int, k: int, most: int) -> DataFrame:
+    """(k1, k2, n_words, at, span, window): the windows that a text holds, each fingerprint extended to the whole window."""
+    held = small(prints)
+    if held is prints:  # too many to broadcast: only texts that meet one by hash move
+        marks = texts.select("k1", "k2", F.explode(fingerprints(words_of(F.col("text")), span, k).fp).alias("fp"))
+        met = marks.join(prints.select("fp").distinct(), "fp").select("k1", "k2").distinct()
+        texts = texts.join(materialize(met, "met"), ["k1", "k2"], "left_semi")
+    words = texts.select("k1", "k2", words_of(F.col("text")).alias("w"))
+
+    def around(w: Column) -> Column:
+        """The fingerprints with the words that a window around each can reach."""
+        first = lambda f: F.greatest(F.lit(0), f.p - (span - k))
+        near = lambda f: F.slice(w, first(f) + 1, f.p - first(f) + most)
+        return F.transform(
+            fingerprints(w, span, k),
+            lambda f: F.struct(f.fp.alias("fp"), f.p.alias("p"), first(f).alias("first"), near(f).alias("near")),
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+
+    marks = words.select("k1", "k2", F.size("w").alias("n_words"), F.inline(let(F.col("w"), around)))
+    met = marks.join(held, "fp").withColumn("at", F.col("p") - F.col("off")).where("at >= 0")
+    same = F.concat_ws(" ", F.slice("near", F.col("at") - F.col("first") + 1, F.col("span"))) == F.col("window")
+    return met.where(same).select("k1", "k2", "n_words", "at", "span", "window")
+
+
+def touched_texts(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """(k1, k2, n_words, n_hit, items, contaminated) of the texts of ``docs`` that hold a window of ``items``, under the hashes of
+    ``text_key``. Other texts have no row, and no whole text is shuffled.
+
+    The items' distinct windows are written first. A window that many items share is met once, and its items are listed at the end.
+    Up to a checked number of windows they are broadcast; beyond it the fingerprints are shuffled, and only texts that share
+    one with an item after them.
+    """
+    if window < WINDOW:
+        raise ValueError(f"a window has at least {WINDOW} words")
+    windows = materialize(_item_windows(items, window), "item-windows")
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    texts = texts.select("text", *text_key(F.col("text")))
+    hits = None
+    for (span, k), most in zip(LEVELS, [window, *(above - 1 for above, _ in LEVELS)], strict=False):
+        prints = materialize(_prints(windows, span, k, most), "item-prints")
+        if not prints.isEmpty():
+            found = _hits(texts, prints, span, k, most)
+            hits = found if hits is None else hits.union(found)
+    if hits is None:
+        hits = texts.select("k1", "k2", F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit("").alias("window")).limit(0)
+    hits = materialize(hits.distinct(), "hits")
+    key = ["k1", "k2"]
+    spans = F.transform(F.collect_set(F.struct("at", "span")), lambda x: F.sequence(x.at, x.at + x.span - 1))
+    covered = hits.groupBy(*key, "n_words").agg(F.size(F.array_distinct(F.flatten(spans))).alias("n_hit"))
+    named = windows.where("item_id IS NOT NULL").select("window", "item_id")
+    listed = hits.select(*key, "window").distinct().join(named, "window").groupBy(*key).agg(
+        F.array_sort(F.collect_set("item_id")).alias("items")
+    )
+    return covered.join(listed, key, "left").select(
+        *key, F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        (share * F.col("n_hit") >= F.col("n_words")).alias("contaminated"),
+    )
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """Adds to (doc_id, text) of ``docs`` which words lie in a window of an item of ``items`` (item_id, text).
 
     A window is ``window`` (13 or more) consecutive words of an item, or the whole item if it has fewer. Fingerprints of
-    documents meet those of items by an equi-join; each hit is then extended: the windows that cover it are
-    compared word by word at the same shift, so nothing rests on hashes alone, and winnowing keeps at least
-    one fingerprint in every window. The items' fingerprints are written first; Spark broadcasts them if
-    their size allows and else shuffles both sides. Documents of equal text share their hits.
+    documents meet those of the items' windows by an equi-join; each hit is extended to the whole window, compared word by word, so
+    nothing rests on hashes alone, and winnowing keeps the print of every window that a text holds.
+    Documents of equal text share their hits.
 
     Returns doc_id, text, n_words, n_hit, n_items, items, items_sha256, contaminated (n_hit > 0 and share * n_hit >=
     n_words). A null or empty text has no words; a null item text has no windows; windows of a null item_id
     hit but are not listed; equal item ids count once; repeated rows give repeated results; an empty table of
     items hits nothing; other columns are ignored.
     """
-    prints = materialize(_item_prints(items, window), "item-prints")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *text_key(F.col("text").cast("string")))
-    levels = [x.level for x in prints.select("level").distinct().collect()]  # at most len(LEVELS) rows
-    seeds = None
-    for level in sorted(levels):
-        span, k = LEVELS[level]
-        own = rows.select("k1", "k2", words_of(F.col("text")).alias("w"))
-        own = own.select("k1", "k2", F.explode(fingerprints(F.col("w"), span, k)).alias("f"))
-        own = own.select("k1", "k2", F.col("f.fp").alias("fp"), F.col("f.p").alias("p"))
-        met = own.join(prints.where(F.col("level") == level).drop("level"), "fp").withColumn("k", F.lit(k)).drop("fp")
-        seeds = met if seeds is None else seeds.union(met)
-    if seeds is None:
-        hits = F.array().cast("array<struct<item_id:string,at:int,span:int>>")
-        joined = rows.withColumn("hits", hits)
-    else:
-        seeds = materialize(
-            seeds.groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "item_id", "span", "off", "ctx", "k")).alias("seeds")),
-            "seeds",
-        )
-        hits = let(words_of(F.col("text")), lambda w: F.flatten(F.transform(F.col("seeds"), lambda s: _extend(w, s))))
-        joined = rows.join(seeds, ["k1", "k2"], "left").withColumn(
-            "hits", F.when(F.col("seeds").isNotNull(), hits)
-        )
-    spans = F.transform("hits", lambda x: F.sequence(x.at, x.at + x.span - 1))
-    covered = F.size(F.array_distinct(F.flatten(spans)))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda x: x.item_id), lambda x: x.isNotNull())))
-    found = joined.select(
-        "doc_id",
-        "text",
-        F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
-        F.when(F.col("hits").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"),
-        F.coalesce(ids, F.array().cast("array<string>")).alias("items"),
-    )
-    return found.select(
+    found = small(materialize(touched_texts(docs, items, window=window, share=share).drop("n_words"), "touched"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = rows.select("*", *text_key(F.col("text")), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    joined = rows.join(found, ["k1", "k2"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return joined.select(
         "doc_id",
         "text",
         "n_words",
-        "n_hit",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         "items",
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
-
-
-def _extend(words: Column, seed: Column) -> Column:
-    """Windows around a seed that the document has in full: (item_id, at, span)."""
-    shifts = F.filter(
-        F.sequence(F.lit(0), F.least(seed.span - seed.k, seed.p, seed.off)),
-        lambda d: (F.size(F.slice(seed.ctx, seed.off - d + 1, seed.span)) == seed.span)
-        & (F.slice(words, seed.p - d + 1, seed.span) == F.slice(seed.ctx, seed.off - d + 1, seed.span)),
-    )
-    return F.transform(
-        shifts, lambda d: F.struct(seed.item_id.alias("item_id"), (seed.p - d).alias("at"), seed.span.alias("span"))
+        F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
     )
