@@ -50,8 +50,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by items of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    keys = found.select(*text_key(F.col("text"))).distinct().toDF("__k1", "__k2")
+    found = decontaminate.touched_texts(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    keys = found.select("k1", "k2").toDF("__k1", "__k2")
     keys = small(materialize(keys, "contaminated"))
     k1, k2 = text_key(F.col("text").cast("string"))
     return docs.join(keys, (k1 == keys["__k1"]) & (k2 == keys["__k2"]), "left_anti")
