@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT = 400_000
+KEPT = 150_000
 KEPT_CHARS = 64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Recent(dict):
@@ -54,6 +53,19 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def runs(body: np.ndarray, bounds: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The begins and ends of the runs of bytes that are no ``gap``, within texts, and the bounds of each text in these."""
+    first, last = ~gap, ~gap
+    first[1:] &= gap[:-1]
+    last[:-1] &= gap[1:]
+    at = bounds[:-1][bounds[:-1] < bounds[1:]]
+    first[at] = ~gap[at]
+    at = bounds[1:][bounds[:-1] < bounds[1:]] - 1
+    last[at] = ~gap[at]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, bounds)
+
+
 def different(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """The spans of ``body`` as numbers into a list of the different ones. Spans ascend and do not overlap."""
     offsets = np.empty(2 * len(starts) + 1, "int32")
@@ -80,15 +92,11 @@ def looked_up(keys: list[str], cache: Recent, compute: Callable[[list[str]], Ite
     return found
 
 
-def gathered(values: list, codes: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """The sequences ``values[codes[0]]``, ``values[codes[1]]``... in one array, and the end of each in it."""
-    sizes = np.fromiter(map(len, values), "int64", len(values))
-    flat = np.fromiter(chain.from_iterable(values), dtype, int(sizes.sum()))
-    return joined(flat, np.cumsum(sizes) - sizes, sizes, codes)
-
-
-def joined(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gathered(values: list[bytes], codes: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences ``values[codes[0]]``, ``values[codes[1]]``... of numbers in one array, and the end of each in it."""
+    flat = np.frombuffer(b"".join(values), dtype)
+    sizes = np.fromiter(map(len, values), "int64", len(values)) // flat.itemsize
     each = sizes[codes]
     ends = np.cumsum(each)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)], ends
+    shift = (np.cumsum(sizes) - sizes)[codes] - (ends - each)
+    return flat[np.repeat(shift, each) + np.arange(ends[-1] if len(ends) else 0)], ends

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import os
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import groupby
 
 import ahocorasick
@@ -21,7 +22,7 @@ from reviewlens.llm.common import arrow_by_bytes
 SPACE = "▁"
 MERGE_TYPE = 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-PAIRS_KEPT = 4_000_000
+PAIRS_KEPT = 500_000
 IDS = "doc_id long, ids array<int>"
 
 
@@ -177,7 +178,7 @@ class Pieces:
         ):
             raise ValueError("only merge models with byte fallback, a prefix space and no other normalization are read")
         pieces = {p.piece.replace(SPACE, " "): (i, p.score) for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.table = PrefixTable(pieces)
+        self.mergeable = pieces
         self.byte_id = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.cache = Recent()
         #: joinable[256 * a + b]: the byte b follows a within some piece. Elsewhere no merge crosses.
@@ -198,15 +199,19 @@ class Pieces:
         #: What each id stands for, and after that what it stands for at the begin of a text.
         self.surface = pa.array([*written, *(x[int(s) :] for x, s in zip(written, self.spaced, strict=True))], pa.binary())
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """The ids of a normalized text (spaces for space marks)."""
-        out = []
+    @cached_property
+    def table(self) -> PrefixTable:
+        return PrefixTable(self.mergeable)
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        """The ids of a normalized text (spaces for space marks), four bytes each."""
+        out = array("i")
         for token in self.table.tokens(chunk):
             if token >= 0:
                 out.append(token)
             else:
-                out += [self.byte_id[x] for x in chr(-1 - token).encode()]
-        return out
+                out.extend(self.byte_id[x] for x in chr(-1 - token).encode())
+        return out.tobytes()
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of whole texts. A text gets a space before it and is cut where no piece has the two bytes beside the cut."""
@@ -271,33 +276,36 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _encode(path: str):
+def _encode(path: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
             for rows in slices(batch):
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), model.encode(rows.column("text"))], names=["doc_id", "ids"])
+                ids = model.encode(rows.column("text"))
+                columns = {"doc_id": rows.column("doc_id"), "ids": ids}
+                yield pa.RecordBatch.from_pydict(columns | ({"text": model.decode(ids)} if decoded else {}))
 
     return run
 
 
-def encode_documents(docs: DataFrame, *, model: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, *, model: str | None = None, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) of every document (doc_id, text), as the model's library encodes whole texts without begin and end ids.
+    With ``decoded`` also text, what the ids decode to.
 
     A null or empty text has no ids; a null doc_id stays null; repeated rows give repeated results; an empty table gives
     no rows; other columns are ignored. One narrow pass; time grows in proportion to a text, whatever its length.
     """
     arrow_by_bytes(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(model or default_model()), IDS)
+    return rows.mapInArrow(_encode(model or default_model(), decoded), IDS + ", text string" * decoded)
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            arrays = [batch.column("doc_id"), batch.column("ids"), model.decode(batch.column("ids"))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "text"])
+            columns = {"doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "text": model.decode(batch.column("ids"))}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -311,8 +319,7 @@ def decode_documents(coded: DataFrame, *, model: str | None = None) -> DataFrame
 
 def piece_digest(docs: DataFrame, *, model: str | None = None) -> DataFrame:
     """Per document: n_tokens, and hashes of its ids and of the text that they decode to."""
-    coded = decode_documents(encode_documents(docs, model=model), model=model)
-    return coded.select(
+    return encode_documents(docs, model=model, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
