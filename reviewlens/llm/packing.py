@@ -13,39 +13,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm.common import arrow_by_bytes
-from reviewlens.llm.tokens import default_vocabulary, encode_all
+from reviewlens.llm.tokens import default_vocabulary, encoded
 from reviewlens.storage import materialize
 
 SEQUENCE_TOKENS = 2048
 SEPARATOR_ID = 0
 GROUP_PIECES = 20_000
 WEIGHTS = (1.0, 0.01, 0.01)
-ROWS_OUT = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(capacity: int, separator: int, vocabulary: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([separator], "<u4").tobytes()
-        step = 4 * capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                rows = batch.slice(at, ROWS_OUT)
-                coded = encode_all(rows.column("text").to_pylist(), vocabulary)
-                whole = [(doc, ids + end) for doc, ids in zip(rows.column("doc_id").to_pylist(), coded, strict=True)]
-                out = [
-                    (doc, i // 4 // capacity, i // 4, len(part := ids[i : i + step]) // 4, zlib.crc32(part), part)
-                    for doc, ids in whole
-                    for i in range(0, len(ids), step)
-                ]
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                arrays = [pa.array(c, k) for c, k in zip(cols[:5], kinds, strict=True)]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            for rows, ids, bounds in encoded(batch, vocabulary, separator):
+                ids = ids.astype("<u4")
+                pieces = -(-np.diff(bounds) // capacity)
+                row = np.repeat(np.arange(rows.num_rows), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                begin = bounds[row] + piece * capacity
+                end = np.minimum(begin + capacity, bounds[row + 1])
+                columns = {
+                    "doc_id": rows.column("doc_id").take(pa.array(row)),
+                    "piece": pa.array(piece.astype("int32")),
+                    "start": pa.array(piece * capacity),
+                    "length": pa.array(end - begin),
+                    "ids_crc32": pa.array([zlib.crc32(ids[a:b]) for a, b in zip(begin, end, strict=True)], pa.int64()),
+                }
                 if with_ids:
-                    arrays.append(pa.array([np.frombuffer(x, "<i4") for x in cols[5]], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    offsets = pa.array(np.append(begin, end[-1:]).astype("int32"))
+                    columns["ids"] = pa.ListArray.from_arrays(offsets, pa.array(ids.astype("int32")))
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 

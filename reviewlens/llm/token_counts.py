@@ -7,15 +7,21 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.llm.chunks import Recent, different, looked_up, runs, slices, text_bytes
 from reviewlens.llm.common import arrow_by_bytes
-from reviewlens.llm.tokens import TwoGenerations, default_vocabulary
+from reviewlens.llm.tokens import default_vocabulary
 
 WORD_END = "</w>"
 NOWHERE = -1
+#: White space: one byte each, and what lies outside ASCII.
+SPACES = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
+WIDE_SPACES = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class LongestMatch:
@@ -96,31 +102,26 @@ def automaton(path: str) -> LongestMatch:
 
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, cache = automaton(path), TwoGenerations()
+        machine, cache = automaton(path), Recent()
+        count = lambda words: [machine.count((*x.lower().encode(), 256)) for x in words]
         for batch in batches:
-            words, pieces = [], []
-            for text in batch.column("text").to_pylist():
-                chunks = [x for x in (text or "").lower().replace("\n", " ").split(" ") if x]
-                total = 0
-                for x in chunks:
-                    n = cache[x]
-                    if n is None:
-                        n = cache[x] = machine.count((*x.encode("utf-8", "replace"), 256))
-                        cache.turn()
-                    total += n
-                words.append(len(chunks))
-                pieces.append(total)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(pieces, pa.int64())],
-                names=["doc_id", "n_words", "n_tokens"],
-            )
+            for rows in slices(batch):
+                body, bounds = text_bytes(pc.replace_substring_regex(rows.column("text"), WIDE_SPACES, " "))
+                starts, ends, own = runs(body, bounds, SPACES[body])
+                codes, words = different(body, starts, ends)
+                pieces = np.array(looked_up(words, cache, count), dtype="int64")[codes]
+                total = np.append(0, np.cumsum(pieces))[own]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), pa.array(np.diff(own)), pa.array(np.diff(total))],
+                    names=["doc_id", "n_words", "n_tokens"],
+                )
 
     return run
 
 
 def token_counts(docs: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
-    """Per document (doc_id, text): n_words, runs between spaces and line ends of the lower-cased text, and n_tokens,
-    their word pieces by greedy longest match. One narrow pass over whole texts.
+    """Per document (doc_id, text): n_words, runs between white space (the Unicode property, as the tokenizer drops it) of the
+    lower-cased text, and n_tokens, their word pieces by greedy longest match. One narrow pass over whole texts.
 
     A null or empty text has no words; a null doc_id stays null; repeated rows give repeated results; an empty table
     gives no rows; other columns are ignored.

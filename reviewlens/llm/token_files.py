@@ -13,13 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewlens.llm.common import arrow_by_bytes
-from reviewlens.llm.tokens import default_vocabulary, encode_all
+from reviewlens.llm.tokens import default_vocabulary, encoded
 from reviewlens.storage import materialize
 
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1_000
-ROWS_OUT = 256
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 READ_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long"
 
@@ -28,26 +27,18 @@ def _encode(end_id: int, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                rows = batch.slice(at, ROWS_OUT)
-                ids = [
-                    np.append(np.frombuffer(x, "<u4"), end_id).astype("int32")
-                    for x in encode_all(rows.column("text").to_pylist(), vocabulary)
-                ]
-                sizes = np.array([len(x) for x in ids], dtype="int64")
-                ends = np.cumsum(sizes)
-                offsets = np.concatenate([[0], ends]).astype("int32")
+            for rows, ids, bounds in encoded(batch, vocabulary, end_id):
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("doc_id"),
-                        pa.array(np.full(len(ids), part, dtype="int32")),
-                        pa.array(start + ends - sizes),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
+                        pa.array(np.full(rows.num_rows, part, dtype="int32")),
+                        pa.array(start + bounds[:-1]),
+                        pa.array(np.diff(bounds)),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype("int32")), pa.array(ids.astype("int32"))),
                     ],
                     names=["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
-                start += int(ends[-1])
+                start += len(ids)
 
     return run
 
@@ -92,15 +83,15 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
-        parts = np.split(flat, ends[:-1])
+        sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype("int64")
+        ends = np.cumsum(sizes)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("part"),
                 batch.column("part_start"),
-                pa.array([len(x) for x in parts], pa.int64()),
-                pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64()),
+                pa.array(sizes),
+                pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends - sizes, ends, strict=True)], pa.int64()),
             ],
             names=["doc_id", "part", "part_start", "n_tokens", "ids_crc32"],
         )

@@ -1,14 +1,18 @@
-"""Token ids of whole texts, by a public tokenizer, through a cache of white-space separated chunks."""
+"""Token ids of whole texts, by a public tokenizer that runs once for each different chunk between white space."""
 
 from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
-GENERATION = 400_000
-SLICE = 100_000
+import numpy as np
+import pyarrow as pa
+
+from reviewlens.llm.chunks import Recent, different, gathered, looked_up, runs, slices, text_bytes
+
+SEPARATORS = np.isin(np.arange(256), list(b" \n"))
 
 
 def default_vocabulary() -> str:
@@ -17,33 +21,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class TwoGenerations(dict):
-    """A bounded cache: when the young generation is full it becomes the old one, and the old one goes.
-    What is asked for again moves to the young generation, so frequent keys stay."""
-
-    def __init__(self, size: int = GENERATION) -> None:
-        super().__init__()
-        self.size = size
-        self.old: dict = {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self[key] = value
-        return value
-
-    def turn(self) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-
-
 class ChunkEncoder:
     """Encodes texts with a ``tokenizers`` file whose pre-tokenizer drops white space.
 
     Spaces and line ends never lie inside a token of such a tokenizer, and a chunk between them gives the
-    same ids anywhere, so each chunk is encoded once and looked up afterwards. Ids are kept as
-    little-endian unsigned 32-bit integers.
+    same ids anywhere, so each different chunk of a batch is encoded once. Ids are unsigned 32-bit integers.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,26 +33,19 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = TwoGenerations()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text (null: empty), four bytes each. A very long text goes in slices of chunks."""
-        if not text:
-            return b""
-        chunks = text.replace("\n", " ").split(" ")
-        return b"".join(self._encode(chunks[i : i + SLICE]) for i in range(0, len(chunks), SLICE))
-
-    def _encode(self, chunks: list[str]) -> bytes:
-        cache = self.cache
-        found = [cache[x] for x in chunks]
-        if None in found:
-            missing = list({x for x, ids in zip(chunks, found, strict=True) if ids is None})
-            coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            new = {x: array("I", e.ids).tobytes() for x, e in zip(missing, coded, strict=True)}
-            cache.update(new)
-            found = [new[x] if ids is None else ids for x, ids in zip(chunks, found, strict=True)]
-            cache.turn()
-        return b"".join(found)
+        self.cache = Recent()
+
+    def _ids(self, chunks: list[str]) -> Iterator[bytes]:
+        return (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), each followed by ``end_id``, in one array, and the bounds of each text in it."""
+        body, bounds = text_bytes(texts)
+        starts, ends, own = runs(body, bounds, SEPARATORS[body])
+        codes, chunks = different(body, starts, ends)
+        ids, last = gathered(looked_up(chunks, self.cache, self._ids), codes, "uint32")
+        ends = np.append(0, last)[own]
+        return np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
 
 
 @lru_cache(maxsize=2)
@@ -79,7 +54,7 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def encode_all(texts: Iterable[str | None], path: str) -> Iterator[bytes]:
-    coder = encoder(path)
-    for text in texts:
-        yield coder.encode(text)
+def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The batch in slices of bounded size, each with the ids of its column text and their bounds."""
+    for rows in slices(batch):
+        yield rows, *encoder(path).encode(rows.column("text"), end_id)

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,9 +43,10 @@ def _docs(spark, rows=None):
     return docs.withColumn("ids", F.lit("clash")).withColumn("part", F.lit(1.5))
 
 
-@pytest.mark.parametrize("text", [t for _, t in TEXTS])
-def test_chunks_encode_as_whole_texts(text):
-    assert np.frombuffer(ChunkEncoder(default_vocabulary()).encode(text), "<u4").tolist() == _ids(text)
+def test_chunks_encode_as_whole_texts():
+    texts = [t for _, t in TEXTS]
+    ids, bounds = ChunkEncoder(default_vocabulary()).encode(pa.array(texts), 7)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*_ids(t), 7] for t in texts]
 
 
 def test_token_files_round_trip(spark):
@@ -118,6 +120,17 @@ def test_sequences_hold_the_packed_ids(spark):
     assert max(len(r.ids) for r in out) <= 64
 
 
+def test_packing_under_binding_document_and_attention_capacities(spark):
+    docs = _docs(spark, [(i, "a b c " * (i % 9)) for i in range(80)])
+    rows = packing.pack_documents(docs, capacity=64, documents=3, attention=900.0).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(80))
+    loads = {}
+    for r in rows:
+        loads.setdefault(r.sequence_id, []).append(r.length)
+    assert all(sum(x) <= 64 and len(x) <= 3 and (len(x) == 1 or sum(n * n for n in x) <= 900) for x in loads.values())
+    assert max(map(len, loads.values())) == 3 and max(sum(x) for x in loads.values()) < 64
+
+
 def _greedy(word, pieces):
     at = count = 0
     while at < len(word):
@@ -148,8 +161,11 @@ def test_token_counts(spark):
         body = p.removesuffix("</w>")
         if body and all(c in symbols for c in body):
             pieces.add((*(symbols[c] for c in body), *[256] * (body != p)))
-    rows = {(r.doc_id, r.n_words, r.n_tokens) for r in token_counts.token_counts(_docs(spark)).collect()}
-    words = lambda t: [w for w in (t or "").lower().replace("\n", " ").split(" ") if w]
-    short = [(d, t) for d, t in TEXTS if len(t or "") < 1000]
+    spaced = (11, "hello\tworld\r\ngood\u00a0morning\u3000to\x0byou")
+    texts = [*TEXTS, spaced]
+    rows = {(r.doc_id, r.n_words, r.n_tokens) for r in token_counts.token_counts(_docs(spark, texts)).collect()}
+    assert (11, 6, 6) in rows
+    words = lambda t: (t or "").lower().split()
+    short = [(d, t) for d, t in texts if len(t or "") < 1000]
     for d, t in short:
         assert (d, len(words(t)), sum(_greedy((*w.encode(), 256), pieces) for w in words(t))) in rows
