@@ -183,18 +183,20 @@ def train(samples: pd.DataFrame, *, steps: int = STEPS, seed: int = 5) -> Model:
 
 
 def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most about ``per_language`` rows (text, lang) of each language, chosen by a hash of the text, each a stretch of
-    ``SAMPLE_CHARS`` characters from its middle. The languages' counts are exact, over all rows."""
+    """About ``per_language`` different texts (text, lang) of each language, chosen by a hash of the text, each a stretch of
+    ``SAMPLE_CHARS`` characters from its middle. However often a text is repeated, it is drawn once. Texts are counted over all
+    rows. Of more than ``MAX_LANGUAGES`` languages the most frequent are learned (ties by name)."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = collect_small(rows.groupBy("lang").count(), MAX_LANGUAGES, "languages")
+    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("k", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("k").alias("texts"))
+    counts = counts.orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
-        return rows.limit(0)
-    shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
+        return docs.sparkSession.createDataFrame([], "text string, lang string")
+    shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["texts"])))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.where(draw < F.element_at(shares, F.col("lang")))
     first = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARS) / 2) + 1).cast("int")
-    return chosen.select(F.substring("text", first, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
+    return chosen.select(F.substring("text", first, F.lit(SAMPLE_CHARS)).alias("text"), "lang").distinct()
 
 
 def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, steps: int = STEPS) -> Model:

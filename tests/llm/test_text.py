@@ -100,6 +100,14 @@ def _base(text):
     return out
 
 
+def test_language_sample_of_heavy_copies_and_many_languages(spark):
+    copies = spark.range(4_000).select(F.lit("the same words again").alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(250).selectExpr("concat('texte numéro ', id) AS text", "concat('l', id) AS lang")
+    rows = language.labelled_sample(copies.union(others), per_language=5).collect()
+    assert len(rows) == language.MAX_LANGUAGES
+    assert [r.text for r in rows if r.lang == "en"] == ["the same words again"]
+
+
 def test_base_spans_are_those_of_the_plain_patterns():
     rng = np.random.default_rng(4)
     for _ in range(4000):
