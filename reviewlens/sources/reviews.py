@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import csv
-import re
-from concurrent.futures import ThreadPoolExecutor
+import io
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reviewlens.config import ALIASES, CSV_NULL_TOKENS, REQUIRED_COLUMNS
+from reviewlens.sources import csv_blocks
+from reviewlens.storage import materialize
 
 _FLAGGED, _FILE, _PLACE = "_flagged", "_file", "_place"
-HEADER_READERS = 16
-#: A path without host comes as file:/a or file:///a.
-_NO_HOST = "^([^:/]+):///"
+CSV_OPTIONS = {
+    "multiLine": "true",
+    "quote": '"',
+    "escape": '"',
+    "mode": "PERMISSIVE",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "maxCharsPerColumn": "-1",
+}
 #: A cell of a CSV line, quoted or not, as a regular expression.
 _CELL = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^,"][^,]*+|)'
 
@@ -34,43 +40,21 @@ def _unique(names: list[str]) -> list[str]:
     return out
 
 
-def _headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files by their header. Only the first line of a file that is not blank is read; files without one are left out."""
-
-    def header(file: str) -> tuple[str, ...] | None:
-        lines = spark.read.text(file)
-        first = lines.where("value != ''").head()
-        if first is None:
-            return None
-        line = first["value"].removeprefix("\ufeff")
-        if line.count('"') % 2:
-            raise ValueError(f"line break inside the header of {file}")
-        return tuple(_unique(next(csv.reader([line]))))
-
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        found = list(pool.map(header, files))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, names in zip(files, found):
-        if names is not None:
-            groups.setdefault(names, []).append(file)
-    return groups
-
-
-def _csv_lines(spark: SparkSession, names: tuple[str, ...], files: list[str], options: dict) -> DataFrame:
-    """The lines of files that share a header, with their file and their place in the task that read it. Spark flags a line
-    whose number of fields is not that of the header; of these the ones with more are dropped, empty cells or not."""
-    fields = [T.StructField(n, T.StringType()) for n in [*names, _FLAGGED]]
-    rows = (
-        spark.read.options(header=True, columnNameOfCorruptRecord=_FLAGGED, **options)
-        .schema(T.StructType(fields))
-        .csv(files)
-        .select("*", F.regexp_replace("_metadata.file_path", _NO_HOST, "$1:/").alias(_FILE), F.monotonically_increasing_id().alias(_PLACE))
-    )
-    too_many = F.col(_FLAGGED).rlike(f"^(?:{_CELL},){{{len(names)}}}")
-    # Spark refuses scans of nothing but the flag, as a count would be: the last part, never true, reads another column.
-    rows = rows.filter(F.col(_FLAGGED).isNull() | ~too_many | (F.length(f"`{names[0]}`") < 0))
-    cells = [F.when(~F.col(f"`{n}`").isin(*CSV_NULL_TOKENS), F.col(f"`{n}`")).alias(n) for n in names]
-    return rows.select(*cells, _FILE, _PLACE)
+def _names(header: str) -> tuple[str, ...]:
+    return tuple(_unique(next(csv.reader(io.StringIO(header.removesuffix("\r"), newline="")))))
+
+
+def _cells(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The cells of records under a header, with their file and place. Spark flags a record whose number of fields is not that of the
+    header; of these the ones with more are dropped, empty cells or not."""
+    plain = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{x} string" for x in [*plain, _FLAGGED])
+    parsed = rows.withColumn("_cells", F.from_csv("record", schema, {**CSV_OPTIONS, "columnNameOfCorruptRecord": _FLAGGED}))
+    too_many = F.col(f"_cells.{_FLAGGED}").rlike(f"^(?:{_CELL},){{{len(names)}}}")
+    parsed = parsed.filter(F.col(f"_cells.{_FLAGGED}").isNull() | ~too_many)
+    found = [F.col(f"_cells.{x}") for x in plain]
+    cells = [F.when(~x.isin(*CSV_NULL_TOKENS), x).alias(n) for x, n in zip(found, names)]
+    return parsed.select(*cells, F.col("file").alias(_FILE), F.col("place").alias(_PLACE))
 
 
 def read_reviews_csv(spark: SparkSession, path: str, *, multi_line: bool = True, row_id: bool = False) -> DataFrame:
@@ -78,33 +62,33 @@ def read_reviews_csv(spark: SparkSession, path: str, *, multi_line: bool = True,
     Lines with too many fields are skipped, also where the cells beyond the header are empty; short lines are padded
     with nulls, and the usual missing-value tokens become nulls. Outer whitespace is kept.
 
-    ``row_id`` adds the input order, by file name and then by line, unless the files have such a column; it needs ``multi_line``. Quoted cells may
-    hold line breaks, so one file is one task: give a large corpus as many files, or say ``multi_line=False`` where no
-    cell has a line break: then files are split. The driver reads the first line of each file, nothing more.
+    Quoted cells, those of the header too, may hold line breaks. A file of any size is read by as many tasks as it has blocks, in two
+    scans: one for the state at the begin of each block and the headers of all files, one for the records. With
+    ``multi_line=False`` every line is a record. Records end with a line feed, after a carriage return or not.
+    ``row_id`` adds the input order, by file name and then by line, unless the files have such a column.
+    The driver gets the name and header of each file, nothing more.
     """
-    if row_id and not multi_line:
-        raise ValueError("the input order needs files that are read whole")
-    options = {
-        "multiLine": multi_line,
-        "quote": '"',
-        "escape": '"',
-        "mode": "PERMISSIVE",
-        "ignoreLeadingWhiteSpace": False,
-        "ignoreTrailingWhiteSpace": False,
-        "maxCharsPerColumn": -1,
-    }
     listed = sorted(spark.read.text(path).inputFiles())
-    groups = _headers(spark, [unquote(f) for f in listed])
+    states = csv_blocks.blocks(spark, [unquote(f) for f in listed], multi_line)
+    order = spark.createDataFrame([(f, i) for i, f in enumerate(listed)], "path string, _rank long")
+    order = order.select(csv_blocks.file_key(F.col("path")).alias(_FILE), "_rank")
+    firsts = materialize(csv_blocks.first_records(states).join(order.withColumnRenamed(_FILE, "file"), "file"), "csv-headers")
+    groups: dict[tuple[str, ...], list[int]] = {}
+    for row in firsts.select("record", "_rank").orderBy("_rank").collect():  # one row for each file
+        groups.setdefault(_names(row["record"]), []).append(row["_rank"])
     if not groups:
         raise ValueError(f"no header line in {path}")
-    scans = [_csv_lines(spark, names, files, options) for names, files in groups.items()]
+    begin = firsts.select("file", F.col("place").alias("_first"))
+    scans = []
+    for names, ranks in groups.items():
+        files = order.join(spark.createDataFrame([(i,) for i in ranks], "_rank long"), "_rank").select(F.col(_FILE).alias("file"))
+        own = states.join(F.broadcast(files), "file") if len(groups) > 1 else states
+        rows = csv_blocks.records(spark, [unquote(listed[i]) for i in ranks], own, multi_line)
+        scans.append(_cells(rows.join(F.broadcast(begin), "file").where("place > _first"), names))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     if row_id and "row_id" not in {n.strip().lower() for n in rows.columns}:
-        order = spark.createDataFrame([(re.sub(_NO_HOST, r"\1:/", f), i) for i, f in enumerate(listed)], f"{_FILE} string, _rank long")
-        rows = rows.join(order, _FILE)
-        # One task reads a file, in order; its place in the task fills the lower 33 bits.
-        place = F.col(_PLACE).bitwiseAND((1 << 33) - 1)
-        rows = rows.withColumn("row_id", F.shiftleft("_rank", 33).bitwiseOR(place)).drop("_rank")
+        place = F.shiftleft("_rank", csv_blocks.PLACE_BITS).bitwiseOR(F.col(_PLACE))
+        rows = rows.join(F.broadcast(order), _FILE).withColumn("row_id", place).drop("_rank")
     return rows.drop(_FILE, _PLACE)
 
 
