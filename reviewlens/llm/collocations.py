@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewlens.llm.chunks import slices
+from reviewlens.llm.chunks import different, slices
 from reviewlens.llm.common import arrow_by_bytes
 from reviewlens.storage import materialize
 
@@ -22,7 +24,10 @@ ABSORBED_PERCENT = 50
 NO_LANGUAGE = "und"
 SCALE = 1_000_000
 COUNT = "decimal(15,0)"  # SCALE * count * count stays within 38 digits
-WORDS_AT_ONCE = 200_000
+WORDS_AT_ONCE = 500_000
+#: The filter of words that occur often enough: one bit for each value of a hash, in pieces that are made apart.
+FILTER_BITS = 26
+PIECE_BITS = 20
 
 GAP, CUT = 1, 2
 KIND = np.zeros(256, "uint8")
@@ -33,8 +38,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' lower-case bytes with one space for each gap, the begin and end of each word in them, and for each word the
-    number of the last word of its piece. Texts are pieces of their own."""
+    """The texts' lower-case bytes with one space for each gap, the begin and end of each word in them, and the number of its piece.
+    Texts are pieces of their own."""
     whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pc.fill_null(texts, "")), "\n")
     body = LOWER[np.frombuffer(whole.buffers()[2] or b"", "uint8")]
     kind = KIND[body]
@@ -45,31 +50,73 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     inside = np.concatenate([[False], kind == 0, [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1]).astype("int32")
     starts, ends = edges[::2], edges[1::2]
-    piece = np.cumsum(kind == CUT, dtype="int32")[starts]
-    final = np.flatnonzero(np.diff(piece, append=-1))
-    return body, starts, ends, np.repeat(final, np.diff(final, prepend=-1))
+    return body, starts, ends, np.cumsum(kind == CUT, dtype="int32")[starts]
 
 
-def _grams(max_words: int):
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, pa.Array]]:
+    for batch in batches:
+        for rows in slices(batch, size=WORDS_AT_ONCE * 8):
+            for lang in rows.column("lang").unique():
+                yield lang, rows.filter(pc.equal(rows.column("lang"), lang)).column("text")
+
+
+def _counted(lang: pa.Scalar, names: pa.Array, counts: pa.Array, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(names)), names, counts], names=["lang", name, "n"])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for lang, texts in _by_language(batches):
+        body, starts, ends, _ = _words(texts)
+        codes, words = different(body, starts, ends)
+        yield _counted(lang, pa.array(words, pa.string()), pa.array(np.bincount(codes, minlength=len(words))), "word")
+
+
+def _hash(lang: Column, word: Column) -> Column:
+    return F.crc32(F.concat(lang, F.lit("\0"), word).cast("binary")).bitwiseAND((1 << FILTER_BITS) - 1)
+
+
+def _piece(key: tuple, rows: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << PIECE_BITS, bool)
+    bits[rows["place"].to_numpy() & ((1 << PIECE_BITS) - 1)] = True
+    return pa.table({"piece": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def frequent_words(rows: DataFrame, min_count: int) -> np.ndarray:
+    """A filter that every word of ``min_count`` occurrences in its language passes: one bit for each hash, whatever the number of words.
+    Of other words some pass as well, more where there are very many; that costs shuffled rows and changes no result."""
+    counts = rows.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    places = counts.where(F.col("n") >= min_count).select(_hash(F.col("lang"), F.col("word")).alias("place")).distinct()
+    pieces = places.withColumn("piece", F.shiftright("place", PIECE_BITS)).groupBy("piece").applyInArrow(_piece, "piece long, bits binary")
+    out = np.zeros((1 << (FILTER_BITS - PIECE_BITS), 1 << (PIECE_BITS - 3)), "uint8")
+    for row in pieces.collect():  # at most 64 pieces of 128 KB
+        out[row["piece"]] = np.frombuffer(row["bits"], "uint8")
+    return out.ravel()
+
+
+def _grams(max_words: int, words_filter: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in slices(batch):
-                for lang in rows.column("lang").unique():
-                    of = rows.filter(pc.equal(rows.column("lang"), lang)).column("text")
-                    body, starts, ends, last = _words(of)
-                    for at in range(0, len(starts), WORDS_AT_ONCE):
-                        begin = starts[at : at + WORDS_AT_ONCE]
-                        number = np.arange(at, at + len(begin))
-                        size = ends[np.minimum(number + max_words - 1, last[at : at + len(begin)])] - begin
-                        offsets = np.concatenate([[0], np.cumsum(size)]).astype("int32")
-                        flat = body[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1], dtype="int32")]
-                        grams = pa.Array.from_buffers(
-                            pa.string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]
-                        )
-                        values, counts = pc.value_counts(grams).flatten()
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.repeat(lang, len(values)), values, counts], names=["lang", "gram", "n"]
-                        )
+        bits = words_filter.value
+        for lang, texts in _by_language(batches):
+            body, starts, ends, piece = _words(texts)
+            codes, words = different(body, starts, ends)
+            prefix = f"{lang.as_py()}\0".encode()
+            places = np.fromiter((zlib.crc32(prefix + x.encode()) for x in words), "int64", len(words)) & ((1 << FILTER_BITS) - 1)
+            often = ((bits[places >> 3] >> (places & 7)) & 1).astype(bool)[codes]
+            yield _counted(lang, pa.array([""]), pa.array([int((~often).sum())], pa.int64()), "gram")
+            # rare words cut pieces as well
+            piece, starts, ends = (piece + np.cumsum(~often, dtype="int32"))[often], starts[often], ends[often]
+            final = np.flatnonzero(np.diff(piece, append=-1))
+            last = np.repeat(final, np.diff(final, prepend=-1))
+            for at in range(0, len(starts), WORDS_AT_ONCE):
+                begin = starts[at : at + WORDS_AT_ONCE]
+                number = np.arange(at, at + len(begin))
+                size = ends[np.minimum(number + max_words - 1, last[at : at + len(begin)])] - begin
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype("int32")
+                flat = body[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1], dtype="int32")]
+                grams = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                found = pc.value_counts(grams)
+                found = found.take(pc.sort_indices(found.field("values")))  # neighbours share their begin, which packs well
+                yield _counted(lang, found.field("values"), found.field("counts"), "gram")
 
     return run
 
@@ -87,14 +134,18 @@ def _size(phrase: str) -> Column:
     return F.length(phrase) - F.length(F.translate(phrase, " ", "")) + 1
 
 
-def edges(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+def edges(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
     """The edges (lang, gram, n) of the graph over whole texts: every word of a piece begins one gram of ``max_words`` words,
     an edge from the node of its first words to that of its last words. Near the end of a piece the gram is shorter: the correction
-    for the flow that ends there. Grams are counted within each batch before they are shuffled."""
+    for the flow that ends there. Grams are counted within each batch before they are shuffled.
+
+    A word of fewer than ``min_count`` occurrences is in no phrase that counts: it ends its piece, and only the empty gram counts it.
+    """
     arrow_by_bytes(docs.sparkSession)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE))
     rows = docs.select(lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_grams(max_words), "lang string, gram string, n long").groupBy("lang", "gram").agg(
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_words(rows, min_count))
+    return rows.mapInArrow(_grams(max_words, shared), "lang string, gram string, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n")
     )
 
@@ -200,7 +251,7 @@ def collocations(
     """
     if max_words < 2 or min_count < 1:
         raise ValueError("phrases need two words or more and a count of one or more")
-    counts = materialize(flows(edges(docs, max_words), max_words, min_count), "phrases")
+    counts = materialize(flows(edges(docs, max_words, min_count), max_words, min_count), "phrases")
     paths = materialize(compact(counts, max_words), "paths")
     within = longer(counts, paths, max_words)
     free = F.col("most").isNull() | (100 * F.col("most") < absorbed_percent * F.col("a"))

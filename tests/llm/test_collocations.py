@@ -56,6 +56,14 @@ def test_collocations(spark, longest, least, percent, top):
     assert sorted(tuple(r) for r in found.collect()) == _brute(_rows(), longest, least, top, percent)
 
 
+def test_rare_words_that_pass_the_filter_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(_rows(), SCHEMA)
+    everything = collocations.np.full(1 << (collocations.FILTER_BITS - 3), 255, "uint8")
+    monkeypatch.setattr(collocations, "frequent_words", lambda rows, least: everything)
+    found = collocations.collocations(docs, min_count=2)
+    assert sorted(tuple(r) for r in found.collect()) == _brute(_rows(), 3, 2)
+
+
 def test_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
 
@@ -69,7 +77,7 @@ def test_large_counts_are_exact(spark):
 
 def test_unary_paths_are_compact(spark):
     docs = spark.createDataFrame(_rows(), SCHEMA)
-    counts = collocations.flows(collocations.edges(docs, 3), 3, 2)
+    counts = collocations.flows(collocations.edges(docs, 3, 2), 3, 2)
     paths = collocations.path_phrases(collocations.compact(counts, 3))
     rows = {(r.lang, r.phrase): (r.f, r.words) for r in paths.collect()}
     assert rows["en", "one two three four five six"] == (5, 6)
