@@ -28,6 +28,8 @@ WORDS_AT_ONCE = 500_000
 #: The filter of words that occur often enough: one bit for each value of a hash, in pieces that are made apart.
 FILTER_BITS = 26
 PIECE_BITS = 20
+KEY_GAP = "\t"
+COUNTS = "key string, n long"
 
 GAP, CUT = 1, 2
 KIND = np.zeros(256, "uint8")
@@ -60,15 +62,24 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar,
                 yield lang, rows.filter(pc.equal(rows.column("lang"), lang)).column("text")
 
 
-def _counted(lang: pa.Scalar, names: pa.Array, counts: pa.Array, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(names)), names, counts], names=["lang", name, "n"])
+def _counted(names: pa.Array, lang: pa.Scalar, counts: pa.Array) -> pa.RecordBatch:
+    """Counts under one key, name and language, in the order of the names: neighbours share their begin, which packs well."""
+    order = pc.sort_indices(names)
+    keys = pc.binary_join_element_wise(names.take(order), lang.cast(pa.string()), KEY_GAP)
+    return pa.RecordBatch.from_arrays([keys, counts.take(order)], names=["key", "n"])
+
+
+def _parts(name: str) -> list[Column]:
+    """The name and the language of a key. A language may hold any character, a word no tab."""
+    word = F.substring_index("key", KEY_GAP, 1)
+    return [F.substring(F.col("key"), F.length(word) + 2, F.length("key")).alias("lang"), word.alias(name)]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, texts in _by_language(batches):
         body, starts, ends, _ = _words(texts)
         codes, words = different(body, starts, ends)
-        yield _counted(lang, pa.array(words, pa.string()), pa.array(np.bincount(codes, minlength=len(words))), "word")
+        yield _counted(pa.array(words, pa.string()), lang, pa.array(np.bincount(codes, minlength=len(words)), pa.int64()))
 
 
 def _hash(lang: Column, word: Column) -> Column:
@@ -84,8 +95,8 @@ def _piece(key: tuple, rows: pa.Table) -> pa.Table:
 def frequent_words(rows: DataFrame, min_count: int) -> np.ndarray:
     """A filter that every word of ``min_count`` occurrences in its language passes: one bit for each hash, whatever the number of words.
     Of other words some pass as well, more where there are very many; that costs shuffled rows and changes no result."""
-    counts = rows.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    places = counts.where(F.col("n") >= min_count).select(_hash(F.col("lang"), F.col("word")).alias("place")).distinct()
+    counts = rows.mapInArrow(_word_counts, COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
+    places = counts.where(F.col("n") >= min_count).select(*_parts("word")).select(_hash(F.col("lang"), F.col("word")).alias("place")).distinct()
     pieces = places.withColumn("piece", F.shiftright("place", PIECE_BITS)).groupBy("piece").applyInArrow(_piece, "piece long, bits binary")
     out = np.zeros((1 << (FILTER_BITS - PIECE_BITS), 1 << (PIECE_BITS - 3)), "uint8")
     for row in pieces.collect():  # at most 64 pieces of 128 KB
@@ -102,7 +113,7 @@ def _grams(max_words: int, words_filter: Broadcast):
             prefix = f"{lang.as_py()}\0".encode()
             places = np.fromiter((zlib.crc32(prefix + x.encode()) for x in words), "int64", len(words)) & ((1 << FILTER_BITS) - 1)
             often = ((bits[places >> 3] >> (places & 7)) & 1).astype(bool)[codes]
-            yield _counted(lang, pa.array([""]), pa.array([int((~often).sum())], pa.int64()), "gram")
+            yield _counted(pa.array([""]), lang, pa.array([len(codes)], pa.int64()))
             # rare words cut pieces as well
             piece, starts, ends = (piece + np.cumsum(~often, dtype="int32"))[often], starts[often], ends[often]
             final = np.flatnonzero(np.diff(piece, append=-1))
@@ -115,8 +126,7 @@ def _grams(max_words: int, words_filter: Broadcast):
                 flat = body[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1], dtype="int32")]
                 grams = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
                 found = pc.value_counts(grams)
-                found = found.take(pc.sort_indices(found.field("values")))  # neighbours share their begin, which packs well
-                yield _counted(lang, found.field("values"), found.field("counts"), "gram")
+                yield _counted(found.field("values"), lang, found.field("counts"))
 
     return run
 
@@ -139,25 +149,27 @@ def edges(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUN
     an edge from the node of its first words to that of its last words. Near the end of a piece the gram is shorter: the correction
     for the flow that ends there. Grams are counted within each batch before they are shuffled.
 
-    A word of fewer than ``min_count`` occurrences is in no phrase that counts: it ends its piece, and only the empty gram counts it.
+    A word of fewer than ``min_count`` occurrences is in no phrase that counts: it ends its piece. The empty gram counts all words.
     """
     arrow_by_bytes(docs.sparkSession)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE))
     rows = docs.select(lang.alias("lang"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_words(rows, min_count))
-    return rows.mapInArrow(_grams(max_words, shared), "lang string, gram string, n long").groupBy("lang", "gram").agg(
-        F.sum("n").alias("n")
-    )
+    counts = rows.mapInArrow(_grams(max_words, shared), COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
+    return counts.select(*_parts("gram"), "n")
 
 
 def flows(graph: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
     """(lang, phrase, f) of all phrases of 1 to ``max_words`` words that occur ``min_count`` times or more: an occurrence of a phrase
     begins exactly one gram, so its count is the flow out of it, over longer edges and over those that end with their piece.
     The empty phrase has the number of all words."""
-    shorter = F.array_distinct(F.array(F.lit(""), *[_first("gram", k) for k in range(1, max_words)]))
-    whole = F.when((F.col("n") >= min_count) & (_size("gram") == max_words), F.array("gram")).otherwise(F.array())
-    spread = graph.select("lang", F.explode(F.concat(shorter, whole)).alias("phrase"), "n")
-    return spread.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+    heads = [_first("gram", k) for k in range(1, max_words)]
+    longer = [F.when(above != F.col("gram"), head) for above, head in zip(heads, heads[1:])]
+    whole = F.when((F.col("n") >= min_count) & (heads[-1] != F.col("gram")), F.col("gram"))
+    key = F.concat("phrase", F.lit(KEY_GAP), "lang").alias("key")
+    spread = graph.select("lang", F.explode(F.array(heads[0], *longer, whole)).alias("phrase"), "n").where("phrase IS NOT NULL")
+    counts = spread.select(key, "n").groupBy("key").agg(F.sum("n").alias("n")).select(*_parts("phrase"), F.col("n").alias("f"))
+    return counts.where((F.col("f") >= min_count) | (F.col("phrase") == ""))
 
 
 def compact(counts: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
