@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.operators.sampling import RANGE_BUCKETS, range_bucketizer
+from reviewlens.operators.scan import PART, running, within_parts
+from reviewlens.storage import materialize
 
 GROUP = ["model"]
 
@@ -48,12 +49,15 @@ def class_scores(counts: DataFrame, group: list[str] = GROUP) -> DataFrame:
 
 def accuracy_f1(df: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """Accuracy, macro F1 and the F1 of both classes (0 for a class that is absent)."""
+    return _accuracy_f1(confusion(df, group), group)
 
+
+def _accuracy_f1(counts: DataFrame, group: list[str]) -> DataFrame:
     def one_class(c: int) -> Column:
         return F.coalesce(F.max(F.when(F.col("class") == c, F.col("f1"))), F.lit(0.0))
 
     return (
-        class_scores(confusion(df, group), group)
+        class_scores(counts, group)
         .groupBy(*group)
         .agg(
             (F.sum("hits") / F.sum("support")).alias("accuracy"),
@@ -97,56 +101,32 @@ def classification_report(df: DataFrame, group: list[str] = GROUP) -> DataFrame:
     return per_class.unionByName(averages)
 
 
-def _cumulative(df: DataFrame, group: list[str], buckets: int) -> DataFrame:
-    """One row per distinct score with the running counts from the highest score down.
-
-    Scores are counted first, so ties (even a third of all rows on one score) are one point. The
-    running totals go over score buckets with data-driven bounds; only the points of one bucket are
-    ordered in a task, and the bucket table carries the offsets and the first point of the next bucket.
-    """
-    points = df.groupBy(*group, "probability").agg(
-        F.sum(F.col("label").cast("long")).alias("pos"),
-        F.sum(1 - F.col("label").cast("long")).alias("neg"),
-    )
-    bucketed = range_bucketizer(df, "probability", "_bucket", buckets).transform(points)
-    keys = [*group, "_bucket"]
-    down = Window.partitionBy(*group).orderBy(F.desc("_bucket"))
-    before = down.rowsBetween(Window.unboundedPreceding, -1)
-    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per_bucket = bucketed.groupBy(*keys).agg(
-        F.sum("pos").alias("_p"),
-        F.sum("neg").alias("_n"),
-        F.max_by(F.struct("pos", "neg"), "probability").alias("_first"),
-    )
-    offsets = per_bucket.select(
-        *keys,
-        F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_pos_before"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_neg_before"),
-        F.sum("_p").over(whole).alias("positives"),
-        F.sum("_n").over(whole).alias("negatives"),
-        F.lead("_first").over(down).alias("_next_bucket"),
-    )
-    inside = Window.partitionBy(*keys).orderBy(F.desc("probability"))
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        bucketed.withColumn("_tp", F.sum("pos").over(running))
-        .withColumn("_fp", F.sum("neg").over(running))
-        .withColumn("_next", F.lead(F.struct("pos", "neg")).over(inside))
-        .join(offsets, keys)
-        .select(
-            *group,
-            "probability",
-            "pos",
-            "neg",
-            (F.col("_tp") + F.col("_pos_before")).alias("tp"),
-            (F.col("_fp") + F.col("_neg_before")).alias("fp"),
-            F.coalesce("_next", "_next_bucket").alias("next"),
-            "positives",
-            "negatives",
-        )
+def score_points(df: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """Predictions as counts: one row for each score and prediction of a group, with its positive and negative rows. Written once, as
+    curves need the range of the scores first, and far smaller than the predictions where scores repeat."""
+    return materialize(
+        df.groupBy(*group, "probability", "prediction").agg(
+            F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg")
+        ),
+        "score-points",
     )
 
 
+def _by_score(points: DataFrame, group: list[str]) -> DataFrame:
+    return points.groupBy(*group, "probability").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def _cumulative(points: DataFrame, group: list[str], buckets: int | None = None) -> DataFrame:
+    """One row per distinct score with the running counts from the highest score down. Ties (even a third of all rows on one
+    score) are one point. The points are dealt by ranges of the score, so no model's scores are sorted in one task."""
+    rows = running(_by_score(points, group), group, [F.desc("probability")], ["pos", "neg"], ["pos", "neg"], buckets)
+    return rows.select(
+        *group, "probability", "pos", "neg", F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"),
+        F.when(F.col("next_pos").isNotNull(), F.struct(F.col("next_pos").alias("pos"), F.col("next_neg").alias("neg"))).alias("next"),
+        F.col("all_pos").alias("positives"), F.col("all_neg").alias("negatives"),
+    )
+
+
 def _curve(points: DataFrame, group: list[str], drop_intermediate: bool) -> DataFrame:
     first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     last = F.col("next").isNull()
@@ -171,40 +151,49 @@ def _curve(points: DataFrame, group: list[str], drop_intermediate: bool) -> Data
     return points.select(*group, F.inline(F.when(first, F.array(start, here)).otherwise(F.array(here))))
 
 
-def _area(points: DataFrame, group: list[str]) -> DataFrame:
-    """Trapezoids between neighbouring points: the last step is known from the row's own counts."""
-    trapezoid = F.col("neg").cast("double") * (2 * F.col("tp") - F.col("pos")) / 2
-    whole = F.max("positives").cast("double") * F.max("negatives")
-    return points.groupBy(*group).agg(F.when(whole > 0, F.sum(trapezoid) / whole).alias("auc"))
+def _area(points: DataFrame, group: list[str], buckets: int | None = None) -> DataFrame:
+    """Trapezoids between neighbouring points: the last step is known from the row's own counts. Each part of the scores gives its own
+    area; what lies before a part lifts it by as many positives."""
+    local = within_parts(_by_score(points, group), group, [F.desc("probability")], ["pos", "neg"], (), buckets)
+    trapezoid = F.col("neg").cast("double") * (2 * F.col("run_pos") - F.col("pos")) / 2
+    parts = local.groupBy(*group, PART).agg(F.sum(trapezoid).alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    along = Window.partitionBy(*(group or [F.lit(0)])).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    lifted = parts.withColumn("area", F.col("area") + F.coalesce(F.sum("pos").over(along), F.lit(0)) * F.col("neg"))
+    whole = F.sum("pos").cast("double") * F.sum("neg")
+    return lifted.groupBy(*group).agg(F.when(whole > 0, F.sum("area") / whole).alias("auc"))
 
 
 def roc_curve(
-    df: DataFrame,
-    group: list[str] = GROUP,
-    drop_intermediate: bool = True,
-    buckets: int = RANGE_BUCKETS,
+    df: DataFrame, group: list[str] = GROUP, drop_intermediate: bool = True, buckets: int | None = None
 ) -> DataFrame:
     """``(threshold, fpr, tpr)`` from the highest score down, starting at (0, 0). By default points
-    on a straight line between their neighbours are left out."""
-    return _curve(_cumulative(df, group, buckets), group, drop_intermediate)
+    on a straight line between their neighbours are left out. The scores are dealt into ``buckets`` ranges (by default as many as
+    shuffles have partitions)."""
+    return _curve(_cumulative(score_points(df, group), group, buckets), group, drop_intermediate)
 
 
-def auc(df: DataFrame, group: list[str] = GROUP, buckets: int = RANGE_BUCKETS) -> DataFrame:
-    return _area(_cumulative(df, group, buckets), group)
+def auc(df: DataFrame, group: list[str] = GROUP, buckets: int | None = None) -> DataFrame:
+    return _area(score_points(df, group), group, buckets)
 
 
 def evaluate(df: DataFrame, group: list[str] = GROUP) -> DataFrame:
-    """Accuracy, macro F1, F1 of both classes and AUC per group."""
-    return accuracy_f1(df, group).join(auc(df, group), group, "left")
+    """Accuracy, macro F1, F1 of both classes and AUC per group, all from one pass over the predictions."""
+    points = score_points(df, group)
+    classes = F.array(
+        F.struct(F.lit(1).alias("label"), F.col("pos").alias("rows")), F.struct(F.lit(0).alias("label"), F.col("neg").alias("rows"))
+    )
+    counts = points.select(*group, "prediction", F.inline(classes)).where("rows > 0")
+    counts = counts.groupBy(*group, "label", "prediction").agg(F.sum("rows").alias("rows"))
+    return _accuracy_f1(counts, group).join(_area(points, group), group, "left")
 
 
 def roc_table(df: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """The curves with an "name (AUC=…)" label, and the chance diagonal. Both parts come from one
-    set of cumulative points."""
-    points = _cumulative(df, group, RANGE_BUCKETS)
+    set of points."""
+    points = score_points(df, group)
     name = F.concat_ws(" ", *group)
     label = F.format_string("%s (AUC=%.4f)", name, F.col("auc"))
-    curves = _curve(points, group, True).join(_area(points, group), group)
+    curves = _curve(_cumulative(points, group), group, True).join(_area(points, group), group)
     chance = df.sparkSession.createDataFrame(
         [("Random", "Random", None, 0.0, 0.0), ("Random", "Random", None, 1.0, 1.0)],
         "model string, label string, threshold double, fpr double, tpr double",

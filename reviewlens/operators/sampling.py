@@ -10,16 +10,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.operators.scan import running
 from reviewlens.storage import collect_small
 
 BUCKET_DIGITS = 4
 MAX_STRATA = 1_000
-RANGE_BUCKETS = 1_024
 
 
 def order_hash(salt: str, seed: int, key: str) -> Column:
@@ -30,15 +29,6 @@ def _prefix(hash_col: str) -> Column:
     return F.substring(hash_col, 1, BUCKET_DIGITS)
 
 
-def range_bucketizer(df: DataFrame, col: str, out: str, buckets: int = RANGE_BUCKETS) -> Bucketizer:
-    """A transformer that adds a bucket number rising with ``col``. The bounds are quantiles of the
-    data, so dense regions get more buckets. One pass, for at most ``buckets`` bounds."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(F.col(col).cast("double"), probabilities, 10_000)).first()[0]
-    splits = [-math.inf, *sorted(set(bounds or [0.0])), math.inf]
-    return Bucketizer(splits=splits, inputCol=col, outputCol=out)
-
-
 def ranked(
     df: DataFrame,
     order_by: list[str],
@@ -84,7 +74,7 @@ def hash_ranked(
 
 def row_index(df: DataFrame, key: str = "row_id", out: str = "row_index") -> DataFrame:
     """Dense index from 0 in key order."""
-    rows = ranked(range_bucketizer(df, key, "_bucket").transform(df), [key], "_bucket")
+    rows = running(df, [], [F.col(key)], [])
     return rows.select(*df.columns, (F.col("rank") - 1).alias(out))
 
 
@@ -248,7 +238,7 @@ def assign_batches(
     if shuffle:
         rows = hash_ranked(df, f"epoch{epoch}", seed, key)
     else:
-        rows = ranked(range_bucketizer(df, key, "_bucket").transform(df), [key], "_bucket")
+        rows = running(df, [], [F.col(key)], []).withColumnRenamed("rows", "part_rows")
     if drop_last:
         rows = rows.filter(F.col("rank") <= F.floor(F.col("part_rows") / size) * size)
     return rows.select(

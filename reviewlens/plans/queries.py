@@ -105,13 +105,8 @@ def baseline_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(reviews(spark, sf), [(m,) for m in BASELINES], ["model"])
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Predictions as a table: curves need the quantiles of the scores before the points."""
-    return materialize(df, "predictions")
-
-
 def seed_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.evaluate(stored(predictions(spark, sf)), ["model", "seed"])
+    return metrics.evaluate(predictions(spark, sf), ["model", "seed"])
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,8 +121,8 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 def models(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of the baselines and the seed means of the networks."""
     rows = materialize(reviews(spark, sf).select("row_id", "label"), "labels")
-    nets = stored(_scored(rows, [(m, s) for m in NETS for s in SEEDS], ["model", "seed"]))
-    classical = stored(_scored(rows, [(m,) for m in BASELINES], ["model"]))
+    nets = _scored(rows, [(m, s) for m in NETS for s in SEEDS], ["model", "seed"])
+    classical = _scored(rows, [(m,) for m in BASELINES], ["model"])
     return report.model_table(metrics.evaluate(classical), metrics.evaluate(nets, ["model", "seed"]))
 
 
@@ -417,20 +412,20 @@ def class_report(spark, sf):
 
 
 def roc_points(spark, sf):
-    rows = metrics.roc_curve(stored(baseline_predictions(spark, sf)), drop_intermediate=False)
+    rows = metrics.roc_curve(baseline_predictions(spark, sf), drop_intermediate=False)
     return _r6(rows, "fpr", "tpr")
 
 
 def roc_points_reduced(spark, sf):
-    return _r6(metrics.roc_curve(stored(baseline_predictions(spark, sf))), "fpr", "tpr")
+    return _r6(metrics.roc_curve(baseline_predictions(spark, sf)), "fpr", "tpr")
 
 
 def auc(spark, sf):
-    return _r6(metrics.auc(stored(predictions(spark, sf)), ["model", "seed"]), "auc")
+    return _r6(metrics.auc(predictions(spark, sf), ["model", "seed"]), "auc")
 
 
 def roc_table(spark, sf):
-    return _r6(metrics.roc_table(stored(baseline_predictions(spark, sf))), "fpr", "tpr")
+    return _r6(metrics.roc_table(baseline_predictions(spark, sf)), "fpr", "tpr")
 
 
 def epoch_loss(spark, sf):
