@@ -70,12 +70,13 @@ class Config:
     epochs: int = 5
     batch_size: int = 128
     max_length: int = 256
+    max_tokens: int = 50_000  # of the vocabulary for fixed-length encoding
     learning_rate: float = 1e-3
     weight_decay: float = 0.01
     warmup_ratio: float = 0.15
     clip_norm: float = 1.0
     dropout: float = 0.4
-    workers: int = 4  # parallel workers of a network, whatever the data and the cluster
+    workers: int = 4  # shards of a network's training rows, each trained by one task: raise it with the data, not with the cluster
     hidden_dim: int = 256
     sentiment_weight: float = 0.5
     recommend_weight: float = 1.0

@@ -19,7 +19,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.config import LEXICON
+from reviewlens.config import LEXICON, Config
 from reviewlens.functions import tokenize, with_terms
 from reviewlens.storage import collect_small
 
@@ -235,7 +235,7 @@ def pack_vectors(df: DataFrame, size: int, out: str = "features") -> DataFrame:
 # ---- fixed-length encoding ----
 
 
-def token_vocabulary(train: DataFrame, max_size: int = 50_000) -> list[str]:
+def token_vocabulary(train: DataFrame, max_size: int = Config.max_tokens) -> list[str]:
     """The most frequent tokens of the training rows; the first one gets the id after ``END``."""
     if max_size > MAX_VOCABULARY:
         raise ValueError(f"max_size is limited to {MAX_VOCABULARY}")

@@ -252,3 +252,16 @@ def stratified_folds(df: DataFrame, folds: int, seed: int, key: str = "row_id")
     """Add ``fold``: per label the folds differ by at most one row."""
     rows = hash_ranked(df, "fold", seed, key, ["label"])
     return rows.select(*df.columns, ((F.col("rank") - 1) % folds).cast("int").alias("fold"))
+
+
+def cut_folds(df: DataFrame, folds: int, seed: int, key: str = "row_id") -> DataFrame:
+    """Add ``fold``: ranges of the seeded hash order whose sizes per label differ by at most one row. As a fold is a comparison with
+    cuts, no row is moved."""
+
+    def quotas(sizes: list[int]) -> list[list[int]]:
+        return [[n * (i + 1) // folds for i in range(folds - 1)] for n in sizes]
+
+    hashed = df.withColumn("_hash", order_hash("fold", seed, key))
+    cut = _with_cuts(hashed, "_hash", key, ["label"], quotas)
+    beyond = [(~_upto("_hash", key, f"_cut_{i}")).cast("int") for i in range(1, folds)]
+    return cut.withColumn("fold", sum(beyond, F.lit(0))).select(*df.columns, "fold")

@@ -279,7 +279,7 @@ def _with(query: str) -> str:
                     order.append(name)
 
     visit(query)
-    heads = ",\n".join(f"{n} AS {'MATERIALIZED ' if n == 'tf' else ''}({CTES[n]})" for n in order)
+    heads = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('tf', 'vocab') else ''}({CTES[n]})" for n in order)
     return f"WITH {heads}\n{query}" if heads else query
 
 
@@ -493,10 +493,10 @@ QUERIES["linear_attributions"] = """SELECT row_id, CAST(rk AS INTEGER) AS rank,
                 FROM nb_features JOIN splits USING (row_id) JOIN nb_pairs USING (idx)
                 JOIN nb_names USING (idx) LEFT JOIN nb_means USING (idx) WHERE split = 'test'))
     WHERE rk <= 5"""
-QUERIES["results_json"] = f"""SELECT count(*) FILTER (model = '{SINGLE_TASK}')::INTEGER AS single_runs,
-    count(*) FILTER (model = '{MULTI_TASK}')::INTEGER AS multi_runs,
-    count(DISTINCT model)::INTEGER AS models, '{" ".join(str(s) for s in SEEDS)}' AS seed_order,
-    CAST(128 AS BIGINT) AS batch_size FROM seed_metrics"""
+_place = " ".join(f"WHEN {seed} THEN {i}" for i, seed in enumerate(SEEDS, 1))
+QUERIES["results_json"] = f"""SELECT m.model, seed::BIGINT AS seed, CAST(CASE seed {_place} END AS BIGINT) AS place, {_m6},
+    s.macro_f1 AS summary_f1, CAST(128 AS BIGINT) AS batch_size, CAST(5 AS BIGINT) AS epochs
+    FROM seed_metrics m JOIN ({QUERIES["seed_summary"]}) s ON s.model = m.model"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -565,13 +565,16 @@ def results_json(spark, sf):
     rows = seed_metrics(spark, sf)
     path = scratch_path(spark, "results-json")
     write_results_json(results_document(rows, statistics.seed_summary(rows), Config()), path)
-    return spark.read.json(path).select(
-        F.size("single_task_per_seed").alias("single_runs"),
-        F.size("multi_task_per_seed").alias("multi_runs"),
-        F.size("summary").alias("models"),
-        F.array_join(F.transform("single_task_per_seed", lambda r: r["seed"]), " ").alias("seed_order"),
-        F.col("config.batch_size").alias("batch_size"),
-    )
+    back = spark.read.json(path)
+
+    def runs(column: str, model: str) -> DataFrame:
+        fields = F.transform(column, lambda r, i: F.struct((i + 1).cast("long").alias("place"), *[r[x].alias(x) for x in ("seed", *statistics.METRICS)]))
+        return back.select(F.lit(model).alias("model"), F.inline(fields))
+
+    rows = runs("single_task_per_seed", SINGLE_TASK).unionByName(runs("multi_task_per_seed", MULTI_TASK))
+    texts = back.select(F.inline("summary"), F.col("config.batch_size").alias("batch_size"), F.col("config.epochs").alias("epochs"))
+    texts = texts.select("model", F.col("macro_f1").alias("summary_f1"), "batch_size", "epochs")
+    return _r6(rows, *statistics.METRICS).join(texts, "model")
 
 
 ROWS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
