@@ -11,6 +11,8 @@ from reviewlens.storage import materialize
 WINDOW = 13
 SHARE = 20
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: (guaranteed span, k): a span of so many words that two texts share has one k-gram that both keep. A text's windows
 #: use the longest guarantee that they reach; shorter ones only serve items of fewer words than WINDOW.
 LEVELS = ((13, 7), (7, 4), (4, 2), (1, 1))
@@ -21,6 +23,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
+def _number_of_words(text: Column) -> Column:
+    """The size of ``words_of``."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def fingerprints(words: Column, span: int, k: int) -> Column:
     """Winnowing: array of (fp, p), the k-gram hashes that are the least in some window of span - k + 1 k-grams,
     with the place of their first word. Equal minima are all kept, so the choice depends on the window alone."""
@@ -70,7 +77,7 @@ def _prints(windows: DataFrame, span: int, k: int, most: int) -> DataFrame:
     return found.select("fp", (F.array_position("grams", F.col("fp")) - 1).cast("int").alias("off"), "span", "window")
 
 
-def _hits(texts: DataFrame, prints: DataFrame, span: int, k: int, most: int) -> DataFrame:
+def _hits(texts: DataFrame, prints: DataFrame, span: int, k: int) -> DataFrame:
     """(k1, k2, n_words, at, span, window): the windows that a text holds, each fingerprint extended to the whole window."""
     held = small(prints)
     if held is prints:  # too many to broadcast: only texts that meet one by hash move
@@ -78,20 +85,11 @@ def _hits(texts: DataFrame, prints: DataFrame, span: int, k: int, most: int) ->
         met = marks.join(prints.select("fp").distinct(), "fp").select("k1", "k2").distinct()
         texts = texts.join(materialize(met, "met"), ["k1", "k2"], "left_semi")
     words = texts.select("k1", "k2", words_of(F.col("text")).alias("w"))
-
-    def around(w: Column) -> Column:
-        """The fingerprints with the words that a window around each can reach."""
-        first = lambda f: F.greatest(F.lit(0), f.p - (span - k))
-        near = lambda f: F.slice(w, first(f) + 1, f.p - first(f) + most)
-        return F.transform(
-            fingerprints(w, span, k),
-            lambda f: F.struct(f.fp.alias("fp"), f.p.alias("p"), first(f).alias("first"), near(f).alias("near")),
-        )
-
-    marks = words.select("k1", "k2", F.size("w").alias("n_words"), F.inline(let(F.col("w"), around)))
-    met = marks.join(held, "fp").withColumn("at", F.col("p") - F.col("off")).where("at >= 0")
-    same = F.concat_ws(" ", F.slice("near", F.col("at") - F.col("first") + 1, F.col("span"))) == F.col("window")
-    return met.where(same).select("k1", "k2", "n_words", "at", "span", "window")
+    marked = words.withColumn("marks", fingerprints(F.col("w"), span, k))
+    marks = marked.select("k1", "k2", "w", F.explode("marks").alias("f"))  # the words stay by reference until a print is met
+    met = marks.join(held, F.col("f.fp") == held["fp"]).withColumn("at", F.col("f.p") - F.col("off")).where("at >= 0")
+    same = F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("span"))) == F.col("window")
+    return met.where(same).select("k1", "k2", F.size("w").alias("n_words"), "at", "span", "window")
 
 
 def touched_texts(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, share: int = SHARE) -> DataFrame:
@@ -111,7 +109,7 @@ def touched_texts(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sh
     for (span, k), most in zip(LEVELS, [window, *(above - 1 for above, _ in LEVELS)], strict=False):
         prints = materialize(_prints(windows, span, k, most), "item-prints")
         if not prints.isEmpty():
-            found = _hits(texts, prints, span, k, most)
+            found = _hits(texts, prints, span, k)
             hits = found if hits is None else hits.union(found)
     if hits is None:
         hits = texts.select("k1", "k2", F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit("").alias("window")).limit(0)
@@ -145,7 +143,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sh
     """
     found = small(materialize(touched_texts(docs, items, window=window, share=share).drop("n_words"), "touched"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.select("*", *text_key(F.col("text")), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    rows = rows.select("*", *text_key(F.col("text")), _number_of_words(F.col("text")).alias("n_words"))
     joined = rows.join(found, ["k1", "k2"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return joined.select(
         "doc_id",
