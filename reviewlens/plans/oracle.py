@@ -494,8 +494,8 @@ QUERIES["linear_attributions"] = """SELECT row_id, CAST(rk AS INTEGER) AS rank,
                 JOIN nb_names USING (idx) LEFT JOIN nb_means USING (idx) WHERE split = 'test'))
     WHERE rk <= 5"""
 _place = " ".join(f"WHEN {seed} THEN {i}" for i, seed in enumerate(SEEDS, 1))
-QUERIES["results_json"] = f"""SELECT m.model, seed::BIGINT AS seed, CAST(CASE seed {_place} END AS BIGINT) AS place, {_m6},
-    s.macro_f1 AS summary_f1, CAST(128 AS BIGINT) AS batch_size, CAST(5 AS BIGINT) AS epochs
+QUERIES["results_json"] = f"""SELECT m.model, seed::BIGINT AS seed, CAST(CASE seed {_place} END AS BIGINT) AS place,
+    {", ".join(f"round(m.{x}, 6) AS {x}" for x in METRICS)}, s.macro_f1 AS summary_f1, CAST(128 AS BIGINT) AS batch_size, CAST(5 AS BIGINT) AS epochs
     FROM seed_metrics m JOIN ({QUERIES["seed_summary"]}) s ON s.model = m.model"""
 
 
