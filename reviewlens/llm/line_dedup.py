@@ -10,11 +10,20 @@ from reviewlens.llm.common import let, small
 from reviewlens.storage import materialize
 
 MIN_WORDS = 5
+MIN_CHARS = 15
 NEAR_WORDS = 10
+#: A longer run without white space, as in scripts that write none, is cut into its characters.
+LONGEST_WORD = 20
+SPACE = r"\x20\x09-\x0D"
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
+    """The words of a lower-cased line; of one over ``LONGEST_WORD`` characters each character counts as a word."""
+    lowered = F.lower(line)
+    words = F.array_remove(F.split(lowered, f"[{SPACE}]+"), "")
+    letters = lambda w: F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))
+    cut = F.transform(words, lambda w: F.when(F.length(w) > LONGEST_WORD, letters(w)).otherwise(F.array(w)))
+    return F.when(lowered.rlike(f"[^{SPACE}]{{{LONGEST_WORD + 1}}}"), F.flatten(cut)).otherwise(words)
 
 
 def lines_of(text: Column) -> Column:
@@ -115,10 +124,13 @@ def _near_lines(lines: DataFrame, text: DataFrame) -> DataFrame:
     return checked.select("l1", "l2").distinct()
 
 
-def removed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def removed_lines(
+    docs: DataFrame, *, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, near_words: int = NEAR_WORDS
+) -> DataFrame:
     """(doc_id, k, removed): per distinct (doc_id, text) the numbers, from 0, of the lines to take out; k hashes the text."""
     text = docs.select("doc_id", F.xxhash64("text").alias("k"), F.posexplode(lines_of(F.col("text"))).alias("line", "x"))
-    rows = text.select("doc_id", "k", "line", words_of(F.col("x")).alias("w")).where(F.size("w") >= min_words)
+    rows = text.select("doc_id", "k", "line", words_of(F.col("x")).alias("w"))
+    rows = rows.where((F.size("w") >= min_words) | (F.length(F.array_join("w", "")) >= min_chars))
     near = F.size("w") >= near_words
     halves = F.when(near, let(F.col("w"), _half_keys)).otherwise(F.array().cast("array<bigint>"))
     place = F.struct("doc_id", "k", "line").alias("place")
@@ -138,20 +150,22 @@ def removed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: in
     return out.groupBy("place.doc_id", "place.k").agg(F.array_sort(F.collect_set("place.line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, *, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, near_words: int = NEAR_WORDS
+) -> DataFrame:
     """Documents (doc_id, text) without the lines that came before.
 
-    Lines are split at line feeds, lower-cased and cut into words. A line goes if it equals an earlier line, or, having
-    ``near_words`` words or more, is within one word edit (insertion, deletion or substitution) of an earlier line of
+    Lines are split at line feeds, lower-cased and cut into words, very long ones into characters. A line goes if it equals an earlier
+    line, or, having ``near_words`` words or more, is within one word edit (insertion, deletion or substitution) of an earlier line of
     as many, be that line kept or not. Earlier means: smaller doc_id, then a hash of the text, then the line number.
-    Lines under ``min_words`` words always stay.
+    Lines of both less than ``min_words`` words and less than ``min_chars`` characters without white space always stay.
 
     Returns doc_id, text (what is left; null stays null), n_lines, n_removed. A null text has no lines and an empty one a
     single empty line; a null doc_id comes first; rows that repeat both id and text are one document and are cut
     alike; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return cut_lines(rows, removed_lines(rows, min_words=min_words, near_words=near_words))
+    return cut_lines(rows, removed_lines(rows, min_words=min_words, min_chars=min_chars, near_words=near_words))
 
 
 def cut_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:

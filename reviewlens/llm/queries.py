@@ -116,16 +116,19 @@ FROM documents LEFT JOIN f USING (doc_id)
 
 
 def _line_sql() -> str:
+    long = f"(len(w.w) >= {line_dedup.MIN_WORDS} OR length(array_to_string(w.w, '')) >= {line_dedup.MIN_CHARS})"
     return rf"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS x
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 w AS (
-  SELECT doc_id, line, x, [y for y in regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+') if y <> ''] AS w,
+  SELECT doc_id, line, x, flatten([
+      CASE WHEN length(y) > {line_dedup.LONGEST_WORD} THEN [substr(y, i, 1) for i in range(1, length(y) + 1)] ELSE [y] END
+      for y in regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+') if y <> '']) AS w,
     doc_id * 10000000 + line AS ord FROM l),
 d AS (
   SELECT array_to_string(w, ' ') AS key, any_value(w) AS w, min(ord) AS first
-  FROM w WHERE len(w) >= {line_dedup.MIN_WORDS} GROUP BY 1),
+  FROM w WHERE {long} GROUP BY 1),
 v AS (
   SELECT key, first, gap, len(w) AS n, md5(array_to_string(w[1:gap] || w[gap + 2:], ' ')) AS v
   FROM (SELECT *, unnest(range(len(w))) AS gap FROM d WHERE len(w) >= {line_dedup.NEAR_WORDS})),
@@ -135,8 +138,8 @@ near AS (
   UNION SELECT v.key FROM v JOIN s USING (v) WHERE s.first < v.first
   UNION SELECT s.key FROM v JOIN s USING (v) WHERE v.first < s.first),
 r AS (
-  SELECT w.*, len(w.w) >= {line_dedup.MIN_WORDS} AND (near.key IS NOT NULL OR ord <> first) AS gone
-  FROM w LEFT JOIN d ON array_to_string(w.w, ' ') = d.key AND len(w.w) >= {line_dedup.MIN_WORDS}
+  SELECT w.*, {long} AND (near.key IS NOT NULL OR ord <> first) AS gone
+  FROM w LEFT JOIN d ON array_to_string(w.w, ' ') = d.key AND {long}
   LEFT JOIN near ON near.key = d.key),
 g AS (
   SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS gone,

@@ -179,6 +179,17 @@ def test_line_dedup_of_nulls_repeats_and_long_lines(spark):
     assert line_dedup.dedup_lines(_docs(spark, [])).collect() == []
 
 
+def test_line_dedup_of_short_lines_and_scripts_without_spaces(spark):
+    chinese, thai = "这是一个没有空格的很长的句子它在许多文件中重复出现而且应该被删除", "นี่คือประโยคยาวที่ไม่มีช่องว่างและปรากฏซ้ำในหลายเอกสาร"
+    rows = [
+        (1, f"{chinese}\n{thai}\nCopyright 2020 Acme\nyes\nno no"),
+        (2, f"{chinese}\nCopyright  2020 ACME\nyes\nno no"),
+        (3, f"{chinese[:9]}新{chinese[10:]}\n{thai}\nown line"),  # one character of a long line differs
+    ]
+    found = line_dedup.dedup_lines(_docs(spark, rows)).orderBy("doc_id").collect()
+    assert [r.text for r in found] == [rows[0][1], "yes\nno no", "own line"]
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(8)
     rows, at = [], 0
