@@ -53,11 +53,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def runs(body: np.ndarray, bounds: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The begins and ends of the runs of bytes that are no ``gap``, within texts, and the bounds of each text in these."""
+def runs(
+    body: np.ndarray, bounds: np.ndarray, gap: np.ndarray, cut: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The begins and ends of the runs of bytes that are no ``gap``, within texts, and the bounds of each text in these. ``cut`` tells for
+    each byte but the first whether a run ends before it."""
     first, last = ~gap, ~gap
-    first[1:] &= gap[:-1]
-    last[:-1] &= gap[1:]
+    apart = gap[:-1] if cut is None else gap[:-1] | cut
+    first[1:] &= apart
+    apart = gap[1:] if cut is None else gap[1:] | cut
+    last[:-1] &= apart
     at = bounds[:-1][bounds[:-1] < bounds[1:]]
     first[at] = ~gap[at]
     at = bounds[1:][bounds[:-1] < bounds[1:]] - 1

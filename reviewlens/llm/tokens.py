@@ -13,6 +13,27 @@ import pyarrow as pa
 from reviewlens.llm.chunks import Recent, different, gathered, looked_up, runs, slices, text_bytes
 
 SEPARATORS = np.isin(np.arange(256), list(b" \n"))
+LOWER = np.arange(256, dtype="uint8")
+LOWER[ord("A") : ord("Z") + 1] += 32
+MARKED = b"<|"
+JOINED = 4_096
+KEPT_CHUNKS = 400_000
+
+
+def _cuts() -> np.ndarray:
+    """Between which two ASCII bytes the pre-tokenizer always cuts: letters stay together, digits are alone, and other signs stay
+    together, but an apostrophe may go with the letters after it."""
+    kind = np.zeros(256, "uint8")  # 0: not ASCII, never cut
+    kind[33:127] = 3
+    kind[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = 1
+    kind[ord("0") : ord("9") + 1] = 2
+    both = (kind[:, None] > 0) & (kind[None, :] > 0)
+    cut = both & ((kind[:, None] != kind[None, :]) | (kind[:, None] == 2))
+    cut[ord("'")] = cut[:, ord("'")] = False
+    return cut.ravel()
+
+
+CUTS = _cuts()
 
 
 def default_vocabulary() -> str:
@@ -24,8 +45,9 @@ def default_vocabulary() -> str:
 class ChunkEncoder:
     """Encodes texts with a ``tokenizers`` file whose pre-tokenizer drops white space.
 
-    Spaces and line ends never lie inside a token of such a tokenizer, and a chunk between them gives the
-    same ids anywhere, so each different chunk of a batch is encoded once. Ids are unsigned 32-bit integers.
+    Spaces and line ends never lie inside a token of such a tokenizer, and neither do the places of ``CUTS``; a chunk between them
+    gives the same ids anywhere, in upper case as in lower case, so each different chunk of a batch is encoded once. Texts with the marks of
+    special tokens are cut at white space only and keep their case. Ids are unsigned 32-bit integers.
     """
 
     def __init__(self, path: str) -> None:
@@ -33,15 +55,37 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Recent()
-
-    def _ids(self, chunks: list[str]) -> Iterator[bytes]:
-        return (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
+        self.cache = Recent(KEPT_CHUNKS)
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(1 + max(names.values()), bool)
+        self.ends_word[[i for x, i in names.items() if x.endswith("</w>")]] = True
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk. Plain words go many at a time, as each ends with the only end-of-word piece that it has."""
+        out: list[bytes | None] = [None] * len(chunks)
+        plain = [i for i, x in enumerate(chunks) if x.isascii() and x.isalpha()]
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join([chunks[i] for i in part]), add_special_tokens=False).ids, "uint32")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                for i, a, b in zip(part, [0, *ends], ends, strict=False):
+                    out[i] = raw[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        coded = self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, coded, strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), each followed by ``end_id``, in one array, and the bounds of each text in it."""
         body, bounds = text_bytes(texts)
-        starts, ends, own = runs(body, bounds, SEPARATORS[body])
+        cut = None
+        if MARKED not in body.tobytes():
+            body = LOWER[body]
+            cut = CUTS[(body[:-1].astype("uint16") << 8) | body[1:]]
+        starts, ends, own = runs(body, bounds, SEPARATORS[body], cut)
         codes, chunks = different(body, starts, ends)
         ids, last = gathered(looked_up(chunks, self.cache, self._ids), codes, "uint32")
         ends = np.append(0, last)[own]

@@ -49,6 +49,17 @@ def test_chunks_encode_as_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*_ids(t), 7] for t in texts]
 
 
+def test_chunks_of_any_characters_encode_as_whole_texts():
+    rng = np.random.default_rng(4)
+    bits = [*"aBc'’.,;12 \n\t\r-<|>é́ẞİΣσ🙂日", "'s", "'LL", "don't", "<|endoftext|>", "<|EndOfText|>", "The", "x1.5e-3", "\u00a0", "it's."]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 25))) for _ in range(3000)]
+    plain = [t for t in texts if "<|" not in t]
+    for some in (texts, plain):
+        ids, bounds = ChunkEncoder(default_vocabulary()).encode(pa.array(some), 7)
+        coded = _tokenizer().encode_batch(some, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*e.ids, 7] for e in coded]
+
+
 def test_token_files_round_trip(spark):
     path = scratch_path(spark, "files")
     token_files.write_token_files(_docs(spark).repartition(3), path)
