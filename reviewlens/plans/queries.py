@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from reviewlens import functions as fn
 from reviewlens.config import MULTI_TASK, SINGLE_TASK, Config
-from reviewlens.models import baselines, net
+from reviewlens.models import baselines, net, trees
+from reviewlens.models import tree_attributions as shapley
 from reviewlens.models.baselines import BaselineSettings, Features
 from reviewlens.models.calibrated_svm import fit_calibrated_svm
 from reviewlens.models.naive_bayes import fit_naive_bayes
@@ -529,6 +530,14 @@ def calibrated_svm(spark, sf):
     return model.transform(data.test).select("row_id", "label", "probability", "prediction")
 
 
+def tree_attributions(spark, sf):
+    """The features that move the forest's probability of each test review most."""
+    data, _ = _model_features(spark, sf)
+    model = trees.fit_forest(data.train, data.size, trees=SETTINGS.forest_trees, depth=SETTINGS.forest_depth, weights=statistics.class_weight_map(data.train))
+    names = [*data.tfidf.terms, *features.aspect_columns(TEST_LEXICON)]
+    return shapley.tree_attributions(model, data.test, names, 5)
+
+
 def logistic_attributions(spark, sf):
     data, _ = _model_features(spark, sf)
     model = baselines.fit_logistic(data.train, SETTINGS.logistic_iterations)
@@ -579,7 +588,7 @@ def results_json(spark, sf):
 
 ROWS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (baseline_suite, calibrated_svm, logistic_attributions, net_single, net_multi, multi_seed)
+    for f in (baseline_suite, calibrated_svm, logistic_attributions, tree_attributions, net_single, net_multi, multi_seed)
 }
 
 SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
