@@ -108,9 +108,12 @@ m AS (
   WHERE len(b.g) BETWEEN len(t.g) * {licenses.DICE} / (2 - {licenses.DICE}) - 1e-9
     AND len(t.g) * (2 - {licenses.DICE}) / {licenses.DICE} + 1e-9),
 f AS (
-  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS l, max(dice) AS d
-  FROM m WHERE dice >= {licenses.DICE} GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(l, '') AS licenses, coalesce(d, 0.0::DOUBLE) AS best_dice
+  SELECT doc_id, sum(n) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS l, max(d) AS d FROM (
+    SELECT doc_id, n, d, CASE WHEN license <> '{licenses.BSD}' THEN license WHEN bool_or(license = 'BSD-3-Clause') OVER (PARTITION BY doc_id)
+      THEN 'BSD-3-Clause' ELSE 'BSD-2-Clause' END AS license
+    FROM (SELECT doc_id, license, count(*) AS n, max(dice) AS d FROM m WHERE dice >= {licenses.DICE} GROUP BY ALL))
+  GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(l, '') AS licenses, coalesce(d, 0.0::DOUBLE) AS best_dice
 FROM documents LEFT JOIN f USING (doc_id)
 """
 

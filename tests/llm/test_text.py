@@ -35,6 +35,51 @@ def test_licenses(spark):
     assert licenses.scan_licenses(_docs(spark, [])).collect() == []
 
 
+LEAD = """Copyright (c) 2021, A. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of Example Corp nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MIT_FILE = """The MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+
+
+def test_whole_license_files(spark):
+    apache = "#!/bin/sh\n\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n\n"
+    rows = [(1, MIT_FILE), (2, LEAD), (3, LEAD + THIRD), (4, apache), (5, "Redistribution of wealth and use of binary forms.")]
+    found = {r.doc_id: r.licenses for r in licenses.scan_licenses(_docs(spark, rows)).collect()}
+    assert found == {1: "MIT", 2: "BSD-2-Clause", 3: "BSD-3-Clause", 4: "Apache-2.0", 5: ""}
+
+
 def test_forward_backward_sums_over_all_labellings():
     from itertools import product
 
