@@ -493,6 +493,11 @@ QUERIES["linear_attributions"] = """SELECT row_id, CAST(rk AS INTEGER) AS rank,
                 FROM nb_features JOIN splits USING (row_id) JOIN nb_pairs USING (idx)
                 JOIN nb_names USING (idx) LEFT JOIN nb_means USING (idx) WHERE split = 'test'))
     WHERE rk <= 5"""
+QUERIES["svm_folds"] = """SELECT label, CAST((r > n // 5)::INTEGER + (r > 2 * n // 5)::INTEGER + (r > 3 * n // 5)::INTEGER
+    + (r > 4 * n // 5)::INTEGER AS INTEGER) AS fold, count(*) AS rows, true AS solved
+    FROM (SELECT label, count(*) OVER (PARTITION BY label) AS n,
+        row_number() OVER (PARTITION BY label ORDER BY md5('fold:42:' || row_id), row_id) AS r FROM splits WHERE split = 'train')
+    GROUP BY ALL"""
 _place = " ".join(f"WHEN {seed} THEN {i}" for i, seed in enumerate(SEEDS, 1))
 QUERIES["results_json"] = f"""SELECT m.model, seed::BIGINT AS seed, CAST(CASE seed {_place} END AS BIGINT) AS place,
     {", ".join(f"round(m.{x}, 6) AS {x}" for x in METRICS)}, s.macro_f1 AS summary_f1, CAST(128 AS BIGINT) AS batch_size, CAST(5 AS BIGINT) AS epochs

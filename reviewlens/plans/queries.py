@@ -530,6 +530,15 @@ def calibrated_svm(spark, sf):
     return model.transform(data.test).select("row_id", "label", "probability", "prediction")
 
 
+def svm_folds(spark, sf):
+    """The sizes of the calibrated SVM's folds, and whether the gradient of the fold's classifier has vanished at its solution."""
+    data, _ = _model_features(spark, sf)
+    model = fit_calibrated_svm(data.train, SETTINGS.svm_folds, SETTINGS.svm_iterations, size=data.size)
+    solved = spark.createDataFrame([(i, bool(g <= 1e-3)) for i, g in enumerate(model.gradients)], "fold int, solved boolean")
+    folds = sampling.cut_folds(data.train.select("row_id", "label"), SETTINGS.svm_folds, SEED)
+    return folds.groupBy("label", "fold").agg(F.count("*").alias("rows")).join(F.broadcast(solved), "fold")
+
+
 def tree_attributions(spark, sf):
     """The features that move the forest's probability of each test review most."""
     data, _ = _model_features(spark, sf)
@@ -603,7 +612,7 @@ SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         idf, sublinear_tf, tfidf_long, feature_rows, encode_fixed, class_weights, weighted_rows,
         confusion, accuracy_f1, class_report, roc_points, roc_points_reduced, auc, roc_table,
         epoch_loss, seed_detail, seed_summary, paired_gain, gain_summary, ttest, ttest_by_product,
-        best_epoch, model_union, f1_table, metric_matrix, nb_scores, linear_attributions, results_json,
+        best_epoch, model_union, f1_table, metric_matrix, nb_scores, linear_attributions, results_json, svm_folds,
     )
 }
 SQL_QUERIES["raw_reviews"] = raw
