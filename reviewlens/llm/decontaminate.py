@@ -78,15 +78,15 @@ def _prints(windows: DataFrame, span: int, k: int, most: int) -> DataFrame:
 
 
 def _hits(texts: DataFrame, prints: DataFrame, span: int, k: int) -> DataFrame:
-    """(k1, k2, n_words, at, span, window): the windows that a text holds, each fingerprint extended to the whole window."""
+    """(k1, k2, n_words, at, span, window): the windows that a text holds, each fingerprint extended to the whole window. Only texts that
+    share a fingerprint with an item come to the extension."""
     held = small(prints)
-    if held is prints:  # too many to broadcast: only texts that meet one by hash move
-        marks = texts.select("k1", "k2", F.explode(fingerprints(words_of(F.col("text")), span, k).fp).alias("fp"))
-        met = marks.join(prints.select("fp").distinct(), "fp").select("k1", "k2").distinct()
-        texts = texts.join(materialize(met, "met"), ["k1", "k2"], "left_semi")
-    words = texts.select("k1", "k2", words_of(F.col("text")).alias("w"))
+    marks = texts.select("k1", "k2", F.explode(fingerprints(words_of(F.col("text")), span, k).fp).alias("fp"))
+    some = held.select("fp").distinct() if held is prints else F.broadcast(prints.select("fp").distinct())
+    met = small(materialize(marks.join(some, "fp").select("k1", "k2").distinct(), "met"))
+    words = texts.join(met, ["k1", "k2"], "left_semi").select("k1", "k2", words_of(F.col("text")).alias("w"))
     marked = words.withColumn("marks", fingerprints(F.col("w"), span, k))
-    marks = marked.select("k1", "k2", "w", F.explode("marks").alias("f"))  # the words stay by reference until a print is met
+    marks = marked.select("k1", "k2", "w", F.explode("marks").alias("f"))
     met = marks.join(held, F.col("f.fp") == held["fp"]).withColumn("at", F.col("f.p") - F.col("off")).where("at >= 0")
     same = F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("span"))) == F.col("window")
     return met.where(same).select("k1", "k2", F.size("w").alias("n_words"), "at", "span", "window")
@@ -94,11 +94,11 @@ def _hits(texts: DataFrame, prints: DataFrame, span: int, k: int) -> DataFrame:
 
 def touched_texts(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """(k1, k2, n_words, n_hit, items, contaminated) of the texts of ``docs`` that hold a window of ``items``, under the hashes of
-    ``text_key``. Other texts have no row, and no whole text is shuffled.
+    ``text_key``. Other texts have no row.
 
     The items' distinct windows are written first. A window that many items share is met once, and its items are listed at the end.
-    Up to a checked number of windows they are broadcast; beyond it the fingerprints are shuffled, and only texts that share
-    one with an item after them.
+    Up to a checked number of windows, and of texts that meet a fingerprint, these are broadcast and no whole text is shuffled; beyond
+    it fingerprints or texts are shuffled once.
     """
     if window < WINDOW:
         raise ValueError(f"a window has at least {WINDOW} words")
