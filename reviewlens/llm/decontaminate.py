@@ -77,7 +77,7 @@ def _prints(windows: DataFrame, span: int, k: int, most: int) -> DataFrame:
     return found.select("fp", (F.array_position("grams", F.col("fp")) - 1).cast("int").alias("off"), "span", "window")
 
 
-def _hits(texts: DataFrame, prints: DataFrame, span: int, k: int) -> DataFrame:
+def _hits(texts: DataFrame, prints: DataFrame, span: int, k: int, most: int) -> DataFrame:
     """(k1, k2, n_words, at, span, window): the windows that a text holds, each fingerprint extended to the whole window. Only texts that
     share a fingerprint with an item come to the extension."""
     held = small(prints)
@@ -85,11 +85,20 @@ def _hits(texts: DataFrame, prints: DataFrame, span: int, k: int) -> DataFrame:
     some = held.select("fp").distinct() if held is prints else F.broadcast(prints.select("fp").distinct())
     met = small(materialize(marks.join(some, "fp").select("k1", "k2").distinct(), "met"))
     words = texts.join(met, ["k1", "k2"], "left_semi").select("k1", "k2", words_of(F.col("text")).alias("w"))
-    marked = words.withColumn("marks", fingerprints(F.col("w"), span, k))
-    marks = marked.select("k1", "k2", "w", F.explode("marks").alias("f"))
-    met = marks.join(held, F.col("f.fp") == held["fp"]).withColumn("at", F.col("f.p") - F.col("off")).where("at >= 0")
-    same = F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("span"))) == F.col("window")
-    return met.where(same).select("k1", "k2", F.size("w").alias("n_words"), "at", "span", "window")
+
+    def around(w: Column) -> Column:
+        """The fingerprints with the words that a window around each can reach, so that a long text is not copied for each."""
+        first = lambda f: F.greatest(F.lit(0), f.p - (span - k))
+        near = lambda f: F.slice(w, first(f) + 1, f.p - first(f) + most)
+        return F.transform(
+            fingerprints(w, span, k),
+            lambda f: F.struct(f.fp.alias("fp"), f.p.alias("p"), first(f).alias("first"), near(f).alias("near")),
+        )
+
+    marks = words.select("k1", "k2", F.size("w").alias("n_words"), F.inline(let(F.col("w"), around)))
+    met = marks.join(held, "fp").withColumn("at", F.col("p") - F.col("off")).where("at >= 0")
+    same = F.concat_ws(" ", F.slice("near", F.col("at") - F.col("first") + 1, F.col("span"))) == F.col("window")
+    return met.where(same).select("k1", "k2", "n_words", "at", "span", "window")
 
 
 def touched_texts(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, share: int = SHARE) -> DataFrame:
@@ -109,7 +118,7 @@ def touched_texts(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sh
     for (span, k), most in zip(LEVELS, [window, *(above - 1 for above, _ in LEVELS)], strict=False):
         prints = materialize(_prints(windows, span, k, most), "item-prints")
         if not prints.isEmpty():
-            found = _hits(texts, prints, span, k)
+            found = _hits(texts, prints, span, k, most)
             hits = found if hits is None else hits.union(found)
     if hits is None:
         hits = texts.select("k1", "k2", F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit("").alias("window")).limit(0)
