@@ -9,7 +9,7 @@ from reviewlens.models import baselines, net
 from reviewlens.models.calibrated_svm import fit_calibrated_svm
 from reviewlens.models.naive_bayes import fit_naive_bayes
 from reviewlens.operators import features, metrics
-from reviewlens.plans.experiment import features_of, run_experiment
+from reviewlens.plans.experiment import features_of, run_experiment, run_multi_seed
 from reviewlens.storage import materialize
 
 SMALL = baselines.BaselineSettings(
@@ -247,3 +247,49 @@ def test_whole_experiment(spark, reviews, tmp_path):
     csv = spark.read.csv(str(tmp_path / "multi_task_per_seed.csv"), header=True)
     assert csv.columns == ["seed", "accuracy", "macro_f1", "f1_pos", "f1_neg", "auc"] and csv.count() == 2
     assert (tmp_path / "models" / "best_multi_task_seed2" / "weights").exists()
+
+
+def test_weights_are_updated_as_by_plain_formulas():
+    """The update in blocks gives the bits of the update of whole tensors."""
+    rng = np.random.default_rng(3)
+    policy = net.Policy()
+    shapes = {"a.w": (net.STEP_BLOCK // 64 + 5, 80), "a.b": (7,)}
+    w, m, v = ({n: rng.normal(size=s).astype("float32") for n, s in shapes.items()} for _ in range(3))
+    v = {n: np.abs(x) for n, x in v.items()}
+    plain = [{n: x.copy() for n, x in part.items()} for part in (w, m, v)]
+    for step in range(3):
+        g = {n: rng.normal(size=s).astype("float32") for n, s in shapes.items()}
+        scale = min(1.0, policy.clip_norm / (np.sqrt(sum(float((x * x).sum()) for x in g.values())) + 1e-6))
+        for n in shapes:
+            grad = g[n] * float(scale)
+            plain[1][n] += 0.1 * (grad - plain[1][n])
+            plain[2][n] += 0.001 * (grad * grad - plain[2][n])
+            plain[0][n] *= 1 - 1e-3 * policy.weight_decay
+            plain[0][n] -= 1e-3 * (plain[1][n] / (1 - 0.9 ** (step + 1))) / (np.sqrt(plain[2][n] / (1 - 0.999 ** (step + 1))) + 1e-8)
+        net.adamw_step(w, m, v, g, step, 1e-3, policy)
+    assert all(np.array_equal(x[n], y[n]) for x, y in zip((w, m, v), plain) for n in shapes)
+
+
+def test_networks_train_side_by_side(data, monkeypatch):
+    """Several seeds at once, on rows dealt once, give what each gives alone."""
+    d, val, _ = data
+    dealt, at_work, most = [], [], []
+    deal, epoch = net.dealt_to_workers, net._run_epoch
+
+    def watched(*args):
+        at_work.append(1)
+        most.append(len(at_work))
+        try:
+            return epoch(*args)
+        finally:
+            at_work.pop()
+
+    monkeypatch.setattr(net, "_run_epoch", watched)
+    monkeypatch.setattr("reviewlens.plans.experiment.dealt_to_workers", lambda *a: dealt.append(1) or deal(*a))
+    config = replace(CONFIG, seeds=(5, 6), epochs=1)
+    found = run_multi_seed(d, val, config)
+    assert len(dealt) == 1 and max(most) > 1
+    alone = net.train_multi_task(d.train, val, d.size, 6, config).transform(d.test).select("row_id", "probability")
+    both = found.predictions.where(f"model = '{MULTI_TASK}' AND seed = 6").select("row_id", "probability")
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, alone.collect()))
+    assert found.seed_metrics.count() == 4
