@@ -42,19 +42,47 @@ def mean_value(tree: Arrays) -> float:
 
 
 def add_values(tree: Arrays, dense: np.ndarray, out: np.ndarray) -> None:
-    """Add the Shapley values of binned rows to ``out``, a column for each feature."""
-    for value, path in leaf_paths(tree):
-        if not path or not value:
-            continue
-        names = np.array(list(path))
-        least, most, share = (np.array(x) for x in zip(*path.values()))
-        bins = dense[:, names]
-        known = ((bins >= least) & (bins <= most)).astype("float64")
-        points, weights = np.polynomial.legendre.leggauss((len(names) + 1) // 2)
-        points, weights = (points + 1) / 2, weights / 2
-        factors = share * (1 - points[:, None, None]) + known * points[:, None, None]
-        others = np.einsum("q,qr,qrj->rj", weights, factors.prod(axis=2), 1 / factors)
-        out[:, names] += value * (known - share) * others
+    """Add the Shapley values of binned rows to ``out``, a column for each feature.
+
+    The products of all leaves below a node share the factors of its path. They are carried down once, at the points of the integral, and
+    their sums over the leaves come back up; each split on the way takes its feature's factor out. Where a feature splits again,
+    its new factor replaces the old one, and what the split above counts for these leaves is taken back.
+    """
+    most = max((len(path) for _, path in leaf_paths(tree)), default=0)
+    if not most:
+        return
+    points, weights = np.polynomial.legendre.leggauss((most + 1) // 2)
+    points, weights = ((points + 1) / 2)[:, None], (weights / 2)[:, None]
+    both = np.array([0.0, 1.0])
+    columns: dict[int, np.ndarray] = {}
+
+    def below(node: int, products: np.ndarray, path: dict[int, tuple[int, int, float, np.ndarray]]) -> np.ndarray:
+        """The sum over the leaves below of their value times their product."""
+        feature = int(tree.feature[node])
+        if feature < 0:
+            return tree.value[node] * products
+        if feature not in columns:
+            columns[feature] = np.ascontiguousarray(dense[:, feature])
+        least, most, share, known = path.get(feature, (-1, 1 << 15, 1.0, None))
+        cut, total = int(tree.bin[node]), 0.0
+        for child, low, high in ((tree.left[node], least, min(most, cut)), (tree.right[node], max(least, cut + 1), most)):
+            bins = columns[feature]
+            now = ((bins >= low) & (bins <= high)).astype("int64")
+            own = share * tree.cover[child] / tree.cover[node]
+            factor = own * (1 - points) + both * points  # of rows that do not go this way, and that do
+            if known is None:
+                ratio, kind = factor, now
+            else:  # a row goes neither way, the old one, or both
+                before = share * (1 - points) + both * points
+                ratio, kind = np.stack([factor[:, 0] / before[:, 0], factor[:, 0] / before[:, 1], factor[:, 1] / before[:, 1]], axis=1), known + now
+            sums = below(int(child), products * ratio[:, kind], path | {feature: (low, high, own, now)})
+            out[:, feature] += (now - own) * np.einsum("qr,qr->r", (weights / factor)[:, now], sums)
+            if known is not None:
+                out[:, feature] -= (known - share) * np.einsum("qr,qr->r", (weights / before)[:, known], sums)
+            total = total + sums
+        return total
+
+    below(0, np.ones((len(points), len(dense))), {})
 
 
 def tree_attributions(model: ForestModel | BoostingModel, df: DataFrame, names: list[str], k: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_trees import SCHEMA, _rows
 
 from reviewlens.models import trees
-from reviewlens.models.tree_attributions import add_values, mean_value, tree_attributions
+from reviewlens.models.tree_attributions import add_values, leaf_paths, mean_value, tree_attributions
 
 
 def _known(tree, row, features, node=0):
@@ -76,3 +76,31 @@ def test_values_add_up_to_the_prediction(spark, kind):
     for r in model.transform(frame).collect():
         assert got.get(r.row_id, 0.0) == pytest.approx(link(r.probability) - mean, abs=1e-6)
     assert tree_attributions(model, frame, names, 2).where("rank > 2").count() == 0
+
+
+def test_repeated_features_and_shared_paths_give_the_sums_of_single_leaves():
+    """Against one product per leaf, on a deep tree in which features split again."""
+    rng = np.random.default_rng(4)
+    dense = rng.integers(0, 9, (200, 4)).astype("uint8")
+    tree = trees.Tree()
+    tree.cover[0] = 200.0
+    todo = [(0, np.arange(200), 0)]
+    while todo:
+        node, rows, depth = todo.pop()
+        feature, cut = int(rng.integers(4)), int(rng.integers(8))
+        low = dense[rows, feature] <= cut
+        if depth < 8 and low.any() and not low.all():
+            sides = tree.split(node, feature, cut, tuple(rng.normal(size=2)), (float(low.sum()), float((~low).sum())))
+            todo += [(sides[0], rows[low], depth + 1), (sides[1], rows[~low], depth + 1)]
+    tree, want, found = tree.arrays(), np.zeros((200, 4)), np.zeros((200, 4))
+    assert any(len(p) < 4 for _, p in leaf_paths(tree)) and len(tree.feature) > 40
+    for value, path in leaf_paths(tree):
+        names = np.array(list(path))
+        least, most, share = (np.array(x) for x in zip(*path.values()))
+        known = ((dense[:, names] >= least) & (dense[:, names] <= most)).astype("float64")
+        points, weights = np.polynomial.legendre.leggauss(4)
+        points, weights = (points + 1) / 2, weights / 2
+        factors = share * (1 - points[:, None, None]) + known * points[:, None, None]
+        want[:, names] += value * (known - share) * np.einsum("q,qr,qrj->rj", weights, factors.prod(axis=2), 1 / factors)
+    add_values(tree, dense, found)
+    assert np.allclose(found, want, atol=1e-12)
