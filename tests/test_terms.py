@@ -49,3 +49,15 @@ def test_terms_are_counted_in_batches_not_by_lambdas(spark, texts):
         assert list(zip(r["indices"], r["values"])) == [(i, float(n)) for i, n in want]
     for df in (features.term_totals(texts), model.transform(texts)):
         assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_encoding_makes_no_object_of_a_word(texts, monkeypatch):
+    """Words are looked up as Arrow arrays; ids are those of a plain lookup."""
+    words = features.token_vocabulary(texts, 3)
+    with monkeypatch.context() as patch:  # a lookup by Python objects would ask for a pandas function
+        patch.setattr(features.F, "pandas_udf", None)
+        rows = features.encode_fixed(texts, words, 6)
+    for r in rows.collect():
+        plain = [t for t in _terms(TEXTS[r["row_id"]]) if " " not in t][:4]
+        ids = [features.START, *[words.index(w) + features.END + 1 if w in words else features.UNK for w in plain], features.END]
+        assert r["input_ids"] == ids + [features.PAD] * (6 - len(ids)) and sum(r["attention_mask"]) == len(ids)

@@ -87,9 +87,11 @@ def test_repeated_features_and_shared_paths_give_the_sums_of_single_leaves():
     todo = [(0, np.arange(200), 0)]
     while todo:
         node, rows, depth = todo.pop()
-        feature, cut = int(rng.integers(4)), int(rng.integers(8))
-        low = dense[rows, feature] <= cut
-        if depth < 8 and low.any() and not low.all():
+        feature = int(rng.integers(4))
+        least, most = (int(x) for x in (dense[rows, feature].min(), dense[rows, feature].max()))
+        if depth < 8 and least < most:
+            cut = int(rng.integers(least, most))
+            low = dense[rows, feature] <= cut
             sides = tree.split(node, feature, cut, tuple(rng.normal(size=2)), (float(low.sum()), float((~low).sum())))
             todo += [(sides[0], rows[low], depth + 1), (sides[1], rows[~low], depth + 1)]
     tree, want, found = tree.arrays(), np.zeros((200, 4)), np.zeros((200, 4))
