@@ -19,11 +19,13 @@ SPACE = r"\x20\x09-\x0D"
 
 def words_of(line: Column) -> Column:
     """The words of a lower-cased line; of one over ``LONGEST_WORD`` characters each character counts as a word."""
-    lowered = F.lower(line)
-    words = F.array_remove(F.split(lowered, f"[{SPACE}]+"), "")
     letters = lambda w: F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))
-    cut = F.transform(words, lambda w: F.when(F.length(w) > LONGEST_WORD, letters(w)).otherwise(F.array(w)))
-    return F.when(lowered.rlike(f"[^{SPACE}]{{{LONGEST_WORD + 1}}}"), F.flatten(cut)).otherwise(words)
+
+    def cut(words: Column) -> Column:
+        parts = F.transform(words, lambda w: F.when(F.length(w) > LONGEST_WORD, letters(w)).otherwise(F.array(w)))
+        return F.when(F.exists(words, lambda w: F.length(w) > LONGEST_WORD), F.flatten(parts)).otherwise(words)
+
+    return let(F.array_remove(F.split(F.lower(line), f"[{SPACE}]+"), ""), cut)
 
 
 def lines_of(text: Column) -> Column:
@@ -52,30 +54,29 @@ def _half_keys(w: Column) -> Column:
 def _variants(lines: DataFrame) -> DataFrame:
     """All variants of lines (l1, l2, first, w) within one deletion: (l1, l2, first, at, v); at is the deleted place, -1
     for the line itself. v hashes the length and two sums over the variant's words and their places: words before the
-    deleted one count at their own place and words after it at the place before, so running totals suffice. All
+    deleted one count at their own place and words after it at the place before, so one running total suffices. All
     rows of a line stay in the task that read the line."""
 
     def word(x: Column, place: Column, seed: int) -> Column:
         return F.shiftright(F.xxhash64(F.lit(seed), x, place), 24)  # 40 bits, so that sums stay far from overflow
 
     zero = F.lit(0).cast("long")
-    placed = lines.repartition("l1", "l2").select(
-        "l1", "l2", "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "x")
-    )
-    line = W.partitionBy("l1", "l2")
-    before = line.orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    after = line.orderBy("i").rowsBetween(1, W.unboundedFollowing)
-    sums = [
-        F.coalesce(F.sum(word(F.col("x"), F.col("i"), s)).over(before), zero)
-        + F.coalesce(F.sum(word(F.col("x"), F.col("i") - 1, s)).over(after), zero)
-        for s in (0, 1)
-    ]
-    deleted = placed.select("l1", "l2", "first", F.col("i").alias("at"), F.xxhash64(F.col("n") - 1, *sums).alias("v"))
 
-    def whole(seed: int) -> Column:
-        return F.aggregate(F.transform("w", lambda x, i: word(x, i, seed)), zero, lambda t, x: t + x)
+    def whole(seed: int, shift: int) -> Column:
+        return F.aggregate(F.transform("w", lambda x, i: word(x, i - shift, seed)), zero, lambda t, x: t + x)
+
+    totals = [whole(s, 1).alias(f"t{s}") for s in (0, 1)]
+    sized = lines.select("l1", "l2", "first", "w", F.size("w").alias("n"), *totals).repartition("l1", "l2")
+    placed = sized.select("l1", "l2", "first", "n", "t0", "t1", F.posexplode("w").alias("i", "x"))
+    before = W.partitionBy("l1", "l2").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    # all words at the place before, without the deleted one, and what the words ahead of it differ by at their own place
+    sums = []
+    for s in (0, 1):
+        own, moved = word(F.col("x"), F.col("i"), s), word(F.col("x"), F.col("i") - 1, s)
+        sums.append(F.col(f"t{s}") - moved + F.coalesce(F.sum(own - moved).over(before), zero))
+    deleted = placed.select("l1", "l2", "first", F.col("i").alias("at"), F.xxhash64(F.col("n") - 1, *sums).alias("v"))
 
-    itself = lines.select("l1", "l2", "first", F.lit(-1).alias("at"), F.xxhash64(F.size("w"), whole(0), whole(1)).alias("v"))
+    itself = lines.select("l1", "l2", "first", F.lit(-1).alias("at"), F.xxhash64(F.size("w"), whole(0, 0), whole(1, 0)).alias("v"))
     return deleted.union(itself)
 
 
@@ -102,10 +103,11 @@ def _near_lines(lines: DataFrame, text: DataFrame) -> DataFrame:
     chosen = text.join(firsts, "place").select("l1", "l2", F.col("place").alias("first"), words_of(F.col("x")).alias("w"))
     chosen = materialize(chosen.dropDuplicates(["l1", "l2"]), "candidates")
 
-    often = _variants(chosen).groupBy("v").count().where("count > 1").select("v")
+    variants = materialize(_variants(chosen), "all-variants")
+    often = variants.groupBy("v").count().where("count > 1").select("v")
     often = small(materialize(often, "shared-variants"))
     variants = materialize(
-        _variants(chosen).join(often, "v").select("v", "at", F.struct("first", "l1", "l2").alias("e")), "variants"
+        variants.join(often, "v").select("v", "at", F.struct("first", "l1", "l2").alias("e")), "variants"
     )
     deleted = variants.where("at >= 0")
     earliest = deleted.groupBy("v", "at").agg(F.min("e").alias("o"))
@@ -128,8 +130,10 @@ def removed_lines(
     docs: DataFrame, *, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, near_words: int = NEAR_WORDS
 ) -> DataFrame:
     """(doc_id, k, removed): per distinct (doc_id, text) the numbers, from 0, of the lines to take out; k hashes the text."""
-    text = docs.select("doc_id", F.xxhash64("text").alias("k"), F.posexplode(lines_of(F.col("text"))).alias("line", "x"))
-    rows = text.select("doc_id", "k", "line", words_of(F.col("x")).alias("w"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("k"), "text")
+    text = hashed.select("doc_id", "k", F.posexplode(lines_of(F.col("text"))).alias("line", "x"))
+    # as the only element of an array the words are made once; a filter would make them again for each of its conditions
+    rows = text.select("doc_id", "k", "line", F.explode(F.array(words_of(F.col("x")))).alias("w"))
     rows = rows.where((F.size("w") >= min_words) | (F.length(F.array_join("w", "")) >= min_chars))
     near = F.size("w") >= near_words
     halves = F.when(near, let(F.col("w"), _half_keys)).otherwise(F.array().cast("array<bigint>"))

@@ -169,6 +169,22 @@ def test_line_dedup(spark):
     assert sum(r.n_removed for r in found) > 50
 
 
+def test_line_dedup_makes_words_and_variants_once(spark, monkeypatch):
+    plans, write = {}, line_dedup.materialize
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", noted)
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    found = line_dedup.dedup_lines(_docs(spark, [(1, words), (2, words.replace("six", "6")), (3, words + " more")])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in found) == [(1, 0), (2, 1), (3, 1)]
+    assert plans["line-keys"].count("split(lower(") == 1
+    assert [sum("Window [" in line for line in plan.splitlines()) for name, plan in plans.items() if "variants" in name] == [1, 0, 0]
+    assert "unboundedfollowing" not in "".join(plans.values()).lower()
+
+
 def test_line_dedup_of_nulls_repeats_and_long_lines(spark):
     long = " ".join(f"x{i}" for i in range(6000))
     rows = [(1, None), (2, ""), (None, "a b c d e"), (3, "a b c d e\nf"), (3, "a b c d e\nf"), (4, long), (5, long + " y")]
