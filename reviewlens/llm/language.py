@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import arrow_by_bytes
+from reviewlens.llm.common import arrow_by_bytes, give_back
 from reviewlens.storage import collect_small
 
 PER_LANGUAGE = 300
@@ -255,6 +255,7 @@ def language_of(model: Model, docs: DataFrame, text: Column) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         labeller = Labeller(shared.value)
         for texts in batches:
             texts = [t if isinstance(t, str) else None for t in texts]

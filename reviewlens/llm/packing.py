@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import arrow_by_bytes
+from reviewlens.llm.common import arrow_by_bytes, give_back
 from reviewlens.llm.tokens import default_vocabulary, encoded
 from reviewlens.storage import materialize
 
@@ -44,6 +44,7 @@ def _cut(capacity: int, separator: int, vocabulary: str, with_ids: bool):
                     offsets = pa.array(np.append(begin, end[-1:]).astype("int32"))
                     columns["ids"] = pa.ListArray.from_arrays(offsets, pa.array(ids.astype("int32")))
                 yield pa.RecordBatch.from_pydict(columns)
+        give_back()
 
     return run
 
