@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlens.llm.common import arrow_by_bytes, components, small
@@ -126,8 +126,12 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _distinct_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """The batch's sets that may link with others than equals (4 shingles or more), each once."""
+def _distinct_sets(batch: pa.RecordBatch, firsts: Bitmap) -> Iterator[tuple[int, np.ndarray]]:
+    """The batch's sets that may link with others than equals (4 shingles or more), each once, of the rows that ``firsts``
+    may have."""
+    batch = batch.filter(pa.array(firsts.has(batch.column("row").to_numpy().view("uint64"))))
+    if not batch.num_rows:
+        return
     seen = set()
     for x in shingle_sets(_texts(batch)):
         if len(x) >= 4 and (node := node_of(x)) not in seen:
@@ -135,8 +139,8 @@ def _distinct_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield node, x
 
 
-def _tokens(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [x for _, x in _distinct_sets(batch)]
+def _tokens(firsts: Bitmap):
+    return lambda batch: [x for _, x in _distinct_sets(batch, firsts)]
 
 
 def _dealt(parts_of, bits: int, subs: int):
@@ -227,34 +231,40 @@ class Bitmap:
         self.shared.destroy()
 
 
-def _signed(often: Bitmap):
+def _signed(firsts: Bitmap, often: Bitmap):
     """All signatures of the batch's sets."""
-    return lambda batch: [prefix_signatures(x, often.has(x)) for _, x in _distinct_sets(batch)]
+    return lambda batch: [prefix_signatures(x, often.has(x)) for _, x in _distinct_sets(batch, firsts)]
+
 
+def size_band(n: int) -> int:
+    """A band holds sizes within a factor of 1.25, the largest that can link, so partners are at most one band apart."""
+    return int(np.floor(np.log(n) / np.log(1.25)))
 
-def _signatures(often: Bitmap, twice: Bitmap):
-    """(sig, node) of the signatures that may come twice."""
+
+def _signatures(firsts: Bitmap, often: Bitmap, twice: Bitmap):
+    """(sig, node, band) of the signatures that may come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, parts = [], []
-            for node, x in _distinct_sets(batch):
+            nodes, bands, parts = [], [], []
+            for node, x in _distinct_sets(batch, firsts):
                 found = prefix_signatures(x, often.has(x))
                 parts.append(found[twice.has(found)])
                 nodes.append(np.full(len(parts[-1]), node, dtype="int64"))
+                bands.append(np.full(len(parts[-1]), size_band(len(x)), dtype="int32"))
             if parts:
-                arrays = [_longs(np.concatenate(parts)), pa.array(np.concatenate(nodes))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["sig", "node"])
+                arrays = [_longs(np.concatenate(parts)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(bands))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["sig", "node", "band"])
 
     return run
 
 
-def _packed_sets(bitmap: Bitmap):
+def _packed_sets(firsts: Bitmap, bitmap: Bitmap):
     """(node, n, tokens) of the sets that the bitmap may have; a token is its hash's low six bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, x) for k, x in _distinct_sets(batch) if bitmap.has(np.array([k]).view("uint64"))[0]]
+            found = [(k, x) for k, x in _distinct_sets(batch, firsts) if bitmap.has(np.array([k]).view("uint64"))[0]]
             for at in range(0, len(found), 256):
                 part = found[at : at + 256]
                 packed = [x.view("uint8").reshape(-1, 8)[:, :6].tobytes() for _, x in part]
@@ -295,9 +305,26 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(met.select("a", "b", "a_tokens", "b_tokens").mapInArrow(_verified, "a long, b long"), "links")
 
 
-def _wide(rows: DataFrame) -> DataFrame:
-    """Each row under its own size band and the two beside it."""
-    return rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+def _groups(rows: DataFrame, value: str) -> DataFrame:
+    """(sig, band, rep, beside) of the size bands of a signature (sig, band, node and ``value``) that hold, with the two bands
+    beside them, several values; rep is their least node, beside that of the next lower band, null if that one is not
+    among these. Rows are summed up by signature and band before the bands of a signature come together."""
+    held = rows.groupBy("sig", "band").agg(F.min(value).alias("x"), F.max(value).alias("y"), F.min("node").alias("rep"))
+    along = Window.partitionBy("sig").orderBy("band")
+    near = along.rangeBetween(-1, 1)
+    wide = held.select("sig", "band", *(f(c).over(near).alias(c) for f, c in ((F.min, "x"), (F.max, "y"), (F.min, "rep"))))
+    lower = F.when(F.lag("band").over(along) == F.col("band") - 1, F.lag("rep").over(along))
+    return wide.where("x != y").select("sig", "band", "rep", lower.alias("beside"))
+
+
+def _open(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures (sig, node, band, component) that a set shares, in neighbouring bands, with another component, and the
+    candidate graph (node, component) of their sets: any two of these hang together."""
+    groups = small(materialize(_groups(named, "component"), "open"))
+    left = materialize(named.join(groups.drop("beside"), ["sig", "band"]), "open-signatures")
+    edges = left.select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    edges = edges.union(groups.where("beside IS NOT NULL").select("beside", "rep"))
+    return left.drop("rep"), components(edges)
 
 
 def _compared(rows: pa.Table) -> pa.Table:
@@ -346,19 +373,13 @@ def _settled(own: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect what ``labels`` leave apart, exactly up to connectivity.
 
     Sets that share a signature with another component make a candidate graph, in which all members of a group (a signature in
-    neighbouring bands) hang together by the group's least node. Each of its components is compared in one task,
-    several small ones together; one of more than ``CELL_BYTES`` is cut into stripes, and each two stripes meet in a
-    cell, so a task's share is bounded whatever a group's size. A set is sent once (or once per stripe) instead of
-    once per pair, and no pairs are written."""
+    a band) hang together by the group's least node, and groups of neighbouring bands by theirs. Each of its components is
+    compared in one task, several small ones together; one of more than ``CELL_BYTES`` is cut into stripes, and each two
+    stripes meet in a cell, so a task's share is bounded whatever a group's size. A set is sent once (or once per stripe)
+    instead of once per pair, and no pairs are written."""
     named = own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "labelled")
-    several = _wide(named).groupBy("sig", "band").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("rep")
-    )
-    several = small(materialize(several.where("x != y").select("sig", "band", "rep"), "open"))
-    left = materialize(named.join(several, ["sig", "band"]), "open-signatures")
-    members = _wide(named.select("sig", "node", "band")).join(several, ["sig", "band"])
-    graph = components(members.select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    left, graph = _open(named)
     rows = left.groupBy("node", "component", "band").agg(F.collect_list("sig").alias("sigs"))
     rows = rows.join(graph.withColumnRenamed("component", "grp"), "node").join(sets, "node")
     rows = materialize(rows, "open-sets")
@@ -382,29 +403,27 @@ def similar_sets(docs: DataFrame, *, bits: int = BITS) -> tuple[DataFrame, DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.withColumn("k", F.xxhash64("text"))
     names = materialize(keyed.mapInArrow(_names, "doc_id long, k long, n_shingles long, node long"), "names")
-    texts = rows.select("text")
+    # Of the rows of equal sets one is read on; a collision of the bitmap lets another pass and changes nothing.
+    row = names.where("node IS NOT NULL").select("node", F.xxhash64("doc_id", "k").alias("row"))
+    firsts = Bitmap.of(row.groupBy("node").agg(F.min("row").alias("row")), "row", bits)
+    texts = keyed.select("text", F.xxhash64("doc_id", "k").alias("row"))
 
     total = names.agg(F.sum("n_shingles")).first()[0] or 0
     subs = -(-total // SUB_KEYS) or 1
-    often = Bitmap.of_repeated(texts, _tokens, bits, subs)
-    twice = Bitmap.of_repeated(texts, _signed(often), bits, subs)
-    shared = materialize(texts.mapInArrow(_signatures(often, twice), "sig long, node long").distinct(), "signatures")
+    often = Bitmap.of_repeated(texts, _tokens(firsts), bits, subs)
+    twice = Bitmap.of_repeated(texts, _signed(firsts, often), bits, subs)
+    shared = texts.mapInArrow(_signatures(firsts, often, twice), "sig long, node long, band int")
+    shared = materialize(shared.distinct(), "signatures")
     often.close()
     twice.close()
-    several = shared.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("sig")
-    shared = shared.join(small(materialize(several, "shared-signatures")), "sig")
-
-    # A band holds sizes within a factor of 1.25, the largest that can link, so partners are at most one band apart.
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    sizes = names.where("node IS NOT NULL").select("node", band.alias("band")).distinct()
-    own = materialize(shared.join(sizes, "node"), "banded")
-    groups = _wide(own).groupBy("sig", "band").agg(F.min("node").alias("rep"), F.max("node").alias("y")).where("rep != y")
-    own = materialize(own.join(small(materialize(groups.drop("y"), "groups")), ["sig", "band"]), "banded")
+    groups = small(materialize(_groups(shared, "node").drop("beside"), "groups"))
+    own = materialize(shared.join(groups, ["sig", "band"]), "banded")
 
     wanted = Bitmap.of(own.select("node"), "node", bits)
-    packed = texts.mapInArrow(_packed_sets(wanted), "node long, tokens binary")
+    packed = texts.mapInArrow(_packed_sets(firsts, wanted), "node long, tokens binary")
     sets = materialize(packed.dropDuplicates(["node"]).join(own.select("node").distinct(), "node", "left_semi"), "sets")
     wanted.close()
+    firsts.close()
 
     # Each set against the least set that it meets, then all that are left: pairs within a component are settled.
     first = own.where("node != rep").groupBy("node").agg(F.min("rep").alias("b")).withColumnRenamed("node", "a")
@@ -416,10 +435,11 @@ def similar_documents(docs: DataFrame, *, bits: int = BITS) -> DataFrame:
     """Groups of documents (doc_id, text) whose shingle sets link, directly or through others.
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct shingles of five words, or the whole
-    sequence of fewer; two sets link when 100 * intersection >= 80 * union. Equal sets are one node. Tokens that
-    come in several texts count as frequent; which they are is kept in a bitmap of 2 ** ``bits`` bits, where a collision makes a
-    token frequent and loses nothing, and so are the signatures that come twice. Shingles are read anew from the texts
-    in each pass. Nodes, shingles and signatures are 64-bit hashes, and comparisons use 48 bits of them.
+    sequence of fewer; two sets link when 100 * intersection >= 80 * union. Equal sets are one node, and only one of their rows
+    is read after the first pass. Tokens that come in several such texts count as frequent; which they are is kept in a bitmap
+    of 2 ** ``bits`` bits, where a collision makes a token frequent and loses nothing, and so are the signatures that come
+    twice. Shingles are read anew from the texts in each pass. Nodes, shingles and signatures are 64-bit hashes, and
+    comparisons use 48 bits of them.
 
     Returns doc_id, n_shingles, component_id (least doc_id that links lead to, itself included). A null or empty text or one
     without words has an empty set and links with nothing; documents with a null doc_id are grouped but never name a group

@@ -117,6 +117,41 @@ def test_prefixes_of_linked_sets_share_a_signature():
             assert len(np.intersect1d(s, t))
 
 
+def test_copies_add_no_signatures(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    texts = [" ".join(f"t{i}x{w}" for w in rng.integers(0, 10**6, 40)) for i in range(30)]
+    rows = [(100 * copy + i, text.upper() if copy == 2 else text) for copy in range(4) for i, text in enumerate(texts)]
+    stored, write = {}, jaccard.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        stored.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4, "doc_id")
+    found = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs).collect()}
+    assert found == {i: i % 100 for i, _ in rows}
+    assert stored["signatures"].count() == 0
+
+
+def test_open_signatures_and_their_graph(spark):
+    rng = np.random.default_rng(22)
+    band, component = rng.integers(0, 7, 60).tolist(), rng.integers(0, 4, 60).tolist()
+    shared = sorted({(int(rng.integers(0, 25)), int(rng.integers(0, 60))) for _ in range(110)})
+    named = spark.createDataFrame([(s, x, band[x], component[x]) for s, x in shared], "sig long, node long, band int, component long")
+    pairs = [
+        (s, x, y) for (s, x), (t, y) in combinations(shared, 2)
+        if s == t and abs(band[x] - band[y]) <= 1 and component[x] != component[y]
+    ]
+    left, graph = jaccard._open(named)
+    met = {(s, z) for s, x, y in pairs for z in (x, y)}
+    assert len(pairs) > 40
+    assert met <= {(r.sig, r.node) for r in left.collect()} <= set(shared)
+    top = {r.node: r.component for r in graph.collect()}
+    assert all(top[x] == top[y] for _, x, y in pairs)
+
+
 def test_similar_documents_of_an_empty_table(spark):
     assert jaccard.similar_documents(_docs(spark, [])).collect() == []
 
