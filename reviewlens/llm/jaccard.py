@@ -151,8 +151,12 @@ def _dealt(parts_of, bits: int, subs: int):
         for batch in batches:
             if not (parts := parts_of(batch)):
                 continue
-            once, counts = np.unique(np.concatenate(parts), return_counts=True)
-            keys = np.concatenate([once, once[counts > 1]])
+            keys = np.concatenate(parts)
+            del parts
+            keys.sort()
+            most = np.ones(len(keys), dtype=bool)
+            most[2:] = keys[2:] != keys[:-2]
+            keys = keys[most]
             at = keys & np.uint64((1 << bits) - 1)
             group = (at >> np.uint64(15)) * np.uint64(subs) + (keys >> np.uint64(57)) % np.uint64(subs)
             order = np.argsort(group, kind="stable")
@@ -405,11 +409,12 @@ def similar_sets(docs: DataFrame, *, bits: int = BITS) -> tuple[DataFrame, DataF
     names = materialize(keyed.mapInArrow(_names, "doc_id long, k long, n_shingles long, node long"), "names")
     # Of the rows of equal sets one is read on; a collision of the bitmap lets another pass and changes nothing.
     row = names.where("node IS NOT NULL").select("node", F.xxhash64("doc_id", "k").alias("row"))
-    firsts = Bitmap.of(row.groupBy("node").agg(F.min("row").alias("row")), "row", bits)
+    total, n = names.agg(F.sum("n_shingles"), F.count("*")).first()
+    enough = min(bits, max(15, (64 * n).bit_length()))
+    firsts = Bitmap.of(row.groupBy("node").agg(F.min("row").alias("row")), "row", enough)
     texts = keyed.select("text", F.xxhash64("doc_id", "k").alias("row"))
 
-    total = names.agg(F.sum("n_shingles")).first()[0] or 0
-    subs = -(-total // SUB_KEYS) or 1
+    subs = -(-(total or 0) // SUB_KEYS) or 1
     often = Bitmap.of_repeated(texts, _tokens(firsts), bits, subs)
     twice = Bitmap.of_repeated(texts, _signed(firsts, often), bits, subs)
     shared = texts.mapInArrow(_signatures(firsts, often, twice), "sig long, node long, band int")
