@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import arrow_by_bytes, components, small
+from reviewlens.llm.common import arrow_by_bytes, components, give_back, small
 from reviewlens.storage import materialize
 
 WORDS = 5
@@ -203,14 +203,25 @@ def prefix_signatures(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([rare, mix(often[:-1] * np.uint64(3) + mix(often[1:] ^ ODD))])
 
 
+def fitting(bits: int, keys: int) -> int:
+    """The size, as a power of two, of a bitmap of ``keys`` keys or fewer: 64 bits for each, 2 ** ``bits`` at most. All of it goes
+    through the driver."""
+    return min(bits, max(15, (64 * keys).bit_length()))
+
+
 class Bitmap:
     """Membership of 64-bit keys by their low bits, in a broadcast array of fixed size. A set bit may be another key's;
     an unset bit is sure. Made of pieces (part, bits) of 2 ** 15 bits, of which there are 2 ** (bits - 15) at most."""
 
     def __init__(self, pieces: DataFrame, bits: int) -> None:
         flat = np.zeros(1 << (bits - 3), dtype="uint8")
-        for row in pieces.groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).collect():
-            flat[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(row.bits, "uint8")
+        # as Arrow batches, which the driver's JVM hands on as they come; rows it would hold unpacked and pickled
+        found = pieces.groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
+        for part, piece in zip(found["part"].to_pylist(), found["bits"], strict=True):
+            flat[part * 4096 : (part + 1) * 4096] = np.frombuffer(piece.as_buffer(), "uint8")
+            del piece
+        del found
+        give_back()
         self.bits = bits
         self.shared: Broadcast = pieces.sparkSession.sparkContext.broadcast(flat)
 
@@ -410,13 +421,13 @@ def similar_sets(docs: DataFrame, *, bits: int = BITS) -> tuple[DataFrame, DataF
     # Of the rows of equal sets one is read on; a collision of the bitmap lets another pass and changes nothing.
     row = names.where("node IS NOT NULL").select("node", F.xxhash64("doc_id", "k").alias("row"))
     total, n = names.agg(F.sum("n_shingles"), F.count("*")).first()
-    enough = min(bits, max(15, (64 * n).bit_length()))
+    enough = fitting(bits, n)
     firsts = Bitmap.of(row.groupBy("node").agg(F.min("row").alias("row")), "row", enough)
     texts = keyed.select("text", F.xxhash64("doc_id", "k").alias("row"))
 
-    subs = -(-(total or 0) // SUB_KEYS) or 1
-    often = Bitmap.of_repeated(texts, _tokens(firsts), bits, subs)
-    twice = Bitmap.of_repeated(texts, _signed(firsts, often), bits, subs)
+    subs, fit = -(-(total or 0) // SUB_KEYS) or 1, fitting(bits, total or 0)
+    often = Bitmap.of_repeated(texts, _tokens(firsts), fit, subs)
+    twice = Bitmap.of_repeated(texts, _signed(firsts, often), fit, subs)
     shared = texts.mapInArrow(_signatures(firsts, often, twice), "sig long, node long, band int")
     shared = materialize(shared.distinct(), "signatures")
     often.close()
@@ -424,7 +435,7 @@ def similar_sets(docs: DataFrame, *, bits: int = BITS) -> tuple[DataFrame, DataF
     groups = small(materialize(_groups(shared, "node").drop("beside"), "groups"))
     own = materialize(shared.join(groups, ["sig", "band"]), "banded")
 
-    wanted = Bitmap.of(own.select("node"), "node", bits)
+    wanted = Bitmap.of(own.select("node"), "node", enough)
     packed = texts.mapInArrow(_packed_sets(firsts, wanted), "node long, tokens binary")
     sets = materialize(packed.dropDuplicates(["node"]).join(own.select("node").distinct(), "node", "left_semi"), "sets")
     wanted.close()

@@ -24,6 +24,7 @@ SEGMENT_WORDS = (6, 24)
 WORDS = re.compile(r"[^\W\d_]+")
 SLICE_CHARS = 4_000_000
 CACHE_WORDS = 100_000
+SLICE_WORDS = 2_000
 UND = "und"
 
 
@@ -60,6 +61,20 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return word, (feature & np.uint64((1 << FEATURE_BITS) - 1)).astype("int64"), value.astype("float32")
 
 
+def features_by_word(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, features, values): those of word i lie from starts[i] to starts[i + 1]. Made for ``SLICE_WORDS`` words at a time, as
+    ``word_features`` takes many times the memory of its result."""
+    counts, features, values = [], [], []
+    for at in range(0, len(words), SLICE_WORDS):
+        part = words[at : at + SLICE_WORDS]
+        word, feature, value = word_features(part)
+        order = np.argsort(word, kind="stable")
+        counts.append(np.bincount(word, minlength=len(part)))
+        features.append(feature[order].astype("int32"))
+        values.append(value[order])
+    return np.append(0, np.cumsum(np.concatenate(counts))), np.concatenate(features), np.concatenate(values)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -120,24 +135,22 @@ def train(samples: pd.DataFrame, *, steps: int = STEPS, seed: int = 5) -> Model:
     Its chains are made code-switched: one to three segments of ``SEGMENT_WORDS`` words from random texts, each word labelled by
     its text's language, so that the transitions learn how rarely the language changes."""
     languages = sorted(samples["lang"].unique())
-    texts = [(WORDS.findall(t.lower()), languages.index(k)) for t, k in zip(samples["text"], samples["lang"], strict=True)]
-    by_language = [[w for w, k in texts if k == i and w] for i in range(len(languages))]
+    place = {x: i for i, x in enumerate(languages)}
+    vocabulary: dict[str, int] = {}
+    by_language: list[list[np.ndarray]] = [[] for _ in languages]  # texts as numbers of words, so that each word is held once
+    for text, lang in zip(samples["text"], samples["lang"], strict=True):
+        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in WORDS.findall(text.lower())]
+        if ids:
+            by_language[place[lang]].append(np.array(ids, dtype="int32"))
     known = [i for i, x in enumerate(by_language) if x]
     size = len(languages)
     weights = np.zeros((1 << FEATURE_BITS, size), dtype="float32")
     moves = np.zeros((size, size))
     squares, move_squares = np.full_like(weights, 1e-2), np.full_like(moves, 1e-2)
     rng = np.random.default_rng(seed)
-    vocabulary: dict[str, int] = {}
-    for words, _ in texts:
-        for w in words:
-            vocabulary.setdefault(w, len(vocabulary))
     if not known:
         return Model([], weights, moves)
-    every = word_features(list(vocabulary))
-    order = np.argsort(every[0], kind="stable")
-    owner, feature, value = (x[order] for x in every)
-    starts = np.searchsorted(owner, np.arange(len(vocabulary) + 1))
+    starts, feature, value = features_by_word(list(vocabulary))
     for _ in range(steps):
         chains, labels = [], []
         for _ in range(SEQUENCES):
@@ -148,9 +161,9 @@ def train(samples: pd.DataFrame, *, steps: int = STEPS, seed: int = 5) -> Model:
                 n = int(rng.integers(*SEGMENT_WORDS))
                 first = int(rng.integers(max(1, len(words) - n + 1)))
                 part = words[first : first + n]
-                chain += [vocabulary[w] for w in part]
+                chain.append(part)
                 label += [k] * len(part)
-            chains.append(np.array(chain))
+            chains.append(np.concatenate(chain).astype("int64"))
             labels.append(np.array(label))
         lengths = np.array([len(c) for c in chains])
         places, by_length = time_major(lengths)

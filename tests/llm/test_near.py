@@ -135,6 +135,21 @@ def test_copies_add_no_signatures(spark, monkeypatch):
     assert stored["signatures"].count() == 0
 
 
+def test_bitmaps_fit_their_keys(spark, monkeypatch):
+    sizes, whole = [], jaccard.Bitmap.__init__
+
+    def seen(self, pieces, bits):
+        whole(self, pieces, bits)
+        sizes.append(self.shared.value.nbytes)
+
+    monkeypatch.setattr(jaccard.Bitmap, "__init__", seen)
+    texts = [" ".join(f"w{i % 7}x{j}" for j in range(40)) for i in range(14)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs).collect()}
+    assert found == {i: i % 7 for i in range(14)}
+    assert len(sizes) == 4 and max(sizes) <= 1 << 14  # 14 * 36 shingles, 64 to 128 bits for each; they were of 16 MB
+
+
 def test_open_signatures_and_their_graph(spark):
     rng = np.random.default_rng(22)
     band, component = rng.integers(0, 7, 60).tolist(), rng.integers(0, 4, 60).tolist()

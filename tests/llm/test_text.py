@@ -1,8 +1,10 @@
 """Operators 1, 8 and 10, and the pipeline."""
 
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,28 @@ def test_forward_backward_sums_over_all_labellings():
         at += n
 
 
+def test_features_of_words_in_slices(monkeypatch):
+    words = ["a", "bc", "straße", "q", "zz", "héllo", "x" * 30]
+    word, feature, value = language.word_features(words)
+    monkeypatch.setattr(language, "SLICE_WORDS", 3)
+    starts, features, values = language.features_by_word(words)
+    for i in range(len(words)):
+        at = slice(starts[i], starts[i + 1])
+        assert features[at].tolist() == feature[word == i].tolist() and values[at].tolist() == value[word == i].tolist()
+
+
+def test_training_holds_each_word_once():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghij"), 8)) for _ in range(20_000)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(1_000)]
+    samples = pd.DataFrame({"text": texts, "lang": ["en", "de"] * 500})
+    tracemalloc.start()
+    language.train(samples, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6, peak
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = language.identify(docs, per_language=40, steps=120).join(docs.select("doc_id", "lang"), "doc_id")
