@@ -104,7 +104,7 @@ def span_features(text: str, start: int, end: int) -> list[int]:
         f"ends {part[0] if not part[0].isalnum() else 'x'} {part[-1] if not part[-1].isalnum() else 'x'}",
         f"at {part.count('@')} dots {min(part.count('.'), 4)} {'@' in part and '.' in part.split('@')[-1]}",
         f"luhn {16 <= len(digits) <= 19 and luhn(digits)} {letters > 0}",
-        f"octets {len(octets) == 4 and all(x.isdigit() and len(x) < 4 and int(x) < 256 for x in octets)}",
+        f"octets {len(octets) == 4 and all(x.isdecimal() and len(x) < 4 and int(x) < 256 for x in octets)}",
         f"plus {part[0] == '+'} {min(len(digits), 16)} {letters > 0}",
         f"hex {len(part) >= 16 and all(c in '0123456789abcdefABCDEF' for c in part)} {min(len(part) // 8, 8)}",
         "left " + " ".join(left)[-20:],
@@ -131,7 +131,7 @@ class Lattice:
                     continue
                 self.spans.append((i, j + 1))
                 features.append(span_features(text, start, end))
-        self.features = np.array(features, dtype="int64").reshape(len(features), -1)
+        self.features = np.array(features, dtype="int64") if features else np.zeros((0, 1), "int64")
 
 
 @dataclass
@@ -246,6 +246,8 @@ def train(texts: list[str], *, rounds: int = ROUNDS, seed: int = 3) -> Field:
             if len(tokens) > 8 * MAX_TOKENS:
                 continue
             lattice = Lattice(text, tokens)
+            if not lattice.spans:  # such as an @ by itself: one segmentation, nothing to learn
+                continue
             ends = [(tokens[i][0], tokens[j - 1][1]) for i, j in lattice.spans]
             inside = [(a, b) for a, b in gold if tokens[0][0] < b and a < tokens[-1][1]]
             if set(inside) <= set(ends):

@@ -233,6 +233,16 @@ def test_personal_data(spark):
     assert personal.find_personal(docs.limit(0)).collect() == []
 
 
+def test_personal_data_of_chunks_without_candidates(spark):
+    """An @ that no letter follows is active but begins and ends no segment; superscripts are digits without a decimal value."""
+    for text in ("@", "mail foo@, or", "a@ b 7", "v 1.2.3.\u00b2 x", "1.2.3.\u2460"):
+        field = personal.train([text, "mail a@b.cd now"], rounds=1)
+        assert personal.all_spans(text, [], field, 2.0) == []
+    docs = spark.createDataFrame([(i, "@" if i else "to x@y.zz or 1.2.3.\u00b2") for i in range(3)], "doc_id long, text string")
+    found = {r.doc_id: r for r in personal.find_personal(docs, rounds=1).collect()}
+    assert [found[i].n_email for i in range(3)] == [1, 0, 0] and found[1].spans == found[2].spans == ""
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     extra = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")).union(
