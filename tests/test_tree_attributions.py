@@ -106,3 +106,30 @@ def test_repeated_features_and_shared_paths_give_the_sums_of_single_leaves():
         want[:, names] += value * (known - share) * np.einsum("q,qr,qrj->rj", weights, factors.prod(axis=2), 1 / factors)
     add_values(tree, dense, found)
     assert np.allclose(found, want, atol=1e-12)
+
+
+def test_leaves_along_a_path_reach_the_rows_once():
+    """A chain of splits: what its leaves give is handed down and added to each feature's column once."""
+
+    class Counted(np.ndarray):
+        def __setitem__(self, at, value):
+            written.append(at)
+            super().__setitem__(at, value)
+
+    written, n = [], 8
+    left = [2 * i + 1 for i in range(n)]  # a leaf each; the next split lies to the right
+    feature = np.full(2 * n + 1, -1)
+    lefts, rights = np.zeros(2 * n + 1, "int64"), np.zeros(2 * n + 1, "int64")
+    nodes = [0, *(2 * i + 2 for i in range(n))]
+    for i in range(n):
+        feature[nodes[i]], lefts[nodes[i]], rights[nodes[i]] = i, left[i], nodes[i + 1]
+    cover = np.ones(2 * n + 1)
+    for i in reversed(range(n)):
+        cover[nodes[i]] = cover[left[i]] + cover[nodes[i + 1]]
+    tree = trees.Arrays(feature, np.zeros(2 * n + 1, "int64"), lefts, rights, np.arange(2 * n + 1) / 7, cover)
+    dense = np.random.default_rng(1).integers(0, 2, (50, n)).astype("uint8")
+    out = np.zeros((50, n)).view(Counted)
+    add_values(tree, dense, out)
+    assert len(written) == n
+    wanted = tree.value[tree.leaves(dense)] - mean_value(tree)
+    assert np.allclose(np.asarray(out).sum(axis=1), wanted)
